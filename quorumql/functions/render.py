@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F, types as T
 
 from quorumql.functions.text import clip, strip
 
+_EXACT_WHOLE = 1e15  # whole numbers below this convert to BIGINT digit by digit
+
 
 def pattern_format(value: Column, pattern: str) -> Column:
     """Number text by a decimal pattern. Rounds the exact binary value, ties to even, as C and Python do;
@@ -14,22 +16,36 @@ def pattern_format(value: Column, pattern: str) -> Column:
     return F.call_function("format_number", value, F.lit(pattern))
 
 
+def _halved_to_even(value: Column, digits: int) -> Column:
+    """The pattern rounds whole numbers lying exactly halfway away from zero; the ones that should go towards
+    zero to reach an even digit are moved by one, which takes them off the tie."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))) - (digits - 1))
+    falls = (F.abs(value) >= 10.0**digits) & (F.abs(value) < _EXACT_WHOLE) & (F.abs(value) % (unit * 2) == unit / 2)
+    return F.when(falls, value - F.signum(value)).otherwise(value)
+
+
 def general_format(value: Column, digits: int = 6) -> Column:
     """``%g`` text: ``digits`` significant digits, no trailing zeros, exponents of at least two digits."""
-    scientific = pattern_format(value, "0." + "#" * (digits - 1) + "E0")
-    mantissa = F.split_part(scientific, F.lit("E"), F.lit(1))
-    exponent = F.split_part(scientific, F.lit("E"), F.lit(2)).try_cast("int")
-    plain = scientific.try_cast(T.DecimalType(38, digits + 4)).cast("string")
-    fixed = F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))
-    sign = F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+"))
-    power = F.abs(exponent).cast("string")
+    scientific = pattern_format(_halved_to_even(value, digits), "0." + "#" * (digits - 1) + "E0")
+
+    def layout(parts: Column) -> Column:
+        power = parts[1].try_cast("int")
+        plain = F.concat_ws("E", parts).try_cast(T.DecimalType(38, digits + 4)).cast("string")
+        size = F.abs(power).cast("string")
+        return F.when((power >= -4) & (power < digits), F.rtrim(F.rtrim(plain, F.lit("0")), F.lit("."))).otherwise(
+            F.concat(
+                parts[0], F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")),
+            )
+        )
+
+    # The array of one binds mantissa and exponent to a name, so the formatted text is computed once.
+    text = F.transform(F.array(F.split(scientific, "E")), layout)[0]
     return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(value), F.lit("nan"))
+        F.when(F.isnan(value), F.lit("nan"))
         .when(value == float("inf"), F.lit("inf"))
         .when(value == float("-inf"), F.lit("-inf"))
-        .when((exponent >= -4) & (exponent < digits), fixed)
-        .otherwise(F.concat(mantissa, sign, F.lpad(power, F.greatest(F.length(power), F.lit(2)), F.lit("0"))))
+        .otherwise(text)
     )
 
 

@@ -175,8 +175,6 @@ def build_contexts(
     catalog = reduce(DataFrame.unionByName, [describe_tables(spark, t, d) for d, t in sorted(databases.items())])
     profiles = None
     if mode != "off":
-        profiles = reduce(
-            DataFrame.unionByName,
-            [profile_tables(t, max_columns, top_k, d) for d, t in sorted(databases.items())],
-        )
+        tables = {(db, name): df for db, found in databases.items() for name, df in found.items()}
+        profiles = profile_tables(tables, max_columns, top_k)
     return database_contexts(schema_text(catalog, max_columns), profiles, mode)

@@ -1,7 +1,7 @@
 """Column profiles of whole tables in two passes, however many columns there are.
 
-Pass one is a single aggregation with every count, minimum, maximum and text-class count side by side. Pass two
-counts value frequencies of all columns in one shuffle, from which exact distinct counts and top values follow.
+Pass one is a single aggregation per table with every count, minimum, maximum and text-class count side by side. Pass two
+counts value frequencies of all columns of all tables in one shuffle, from which exact distinct counts and top values follow.
 Both pre-aggregate on the map side, so a value held by a third of all rows costs one row per task.
 """
 
@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from quorumql.functions.render import general_format, quoted_text, render_value
+from quorumql.functions.render import general_format, quoted_text
 
 # What makes a column numeric or date-like, and the shares of its values needed.
 NUMERIC_TYPE_TOKENS = ("INT", "REAL", "NUM", "DEC", "DOUB", "FLOA")
@@ -25,6 +25,9 @@ MODES = ("off", "stats", "stats_and_samples")
 MAX_COLUMNS = 80
 TOP_K = 3
 
+KEYS = ("db_id", "table_name", "ordinal")
+Tables = Mapping[str | tuple[str, str], DataFrame]
+
 _NUMERIC_TEXT = r"\A[0-9.\-]*[0-9][0-9.\-]*\z"
 _NESTED = (T.ArrayType, T.StructType, T.MapType)
 
@@ -58,6 +61,13 @@ def date_looking(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [text.like(p) for p in DATE_PATTERNS])
 
 
+_NUMERIC_SQL = "trim({}) RLIKE r'" + _NUMERIC_TEXT + "'"
+
+
+def _date_sql(column: str) -> str:
+    return " OR ".join(f"{column} LIKE '{p}'" for p in DATE_PATTERNS)
+
+
 def declared_class(dtype: T.DataType, name: str) -> str | None:
     """``numeric`` or ``date-ish`` by declared type, then by column name; None when only values can tell."""
     if isinstance(dtype, T.BooleanType):
@@ -79,127 +89,67 @@ def _visible(df: DataFrame, max_columns: int) -> list[T.StructField]:
     return df.schema.fields[:max_columns]
 
 
-def _named(field: T.StructField) -> Column:
-    return F.col("`" + field.name.replace("`", "``") + "`")
-
-
-def column_stats(df: DataFrame, table_name: str, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """One row per column: row and null counts, inferred type, and the rendered range of numeric and date columns."""
-    fields = _visible(df, max_columns)
-    nothing = F.lit(None).cast("string")
-    measures: list[Column] = [F.count(F.lit(1)).alias("rows")]
-    for i, field in enumerate(fields):
-        column = _named(field)
-        measures.append(F.count(column).alias(f"filled_{i}"))
-        by_declaration = declared_class(field.dataType, field.name)
-        is_text = isinstance(field.dataType, T.StringType)
-        if by_declaration is None and is_text:
-            measures.append(F.count_if(numeric_looking(column)).alias(f"numeric_{i}"))
-            measures.append(F.count_if(date_looking(column)).alias(f"date_{i}"))
-        if not isinstance(field.dataType, _NESTED) and (by_declaration or is_text):
-            measures.append(F.min(column).alias(f"low_{i}"))
-            measures.append(F.max(column).alias(f"high_{i}"))
-    totals = df.agg(*measures)
-
-    entries = []
-    for i, field in enumerate(fields):
-        filled = F.col(f"filled_{i}")
-        by_declaration = declared_class(field.dataType, field.name)
-        if by_declaration:
-            inferred = F.lit(by_declaration)
-        else:
-            inferred = F.when(filled == 0, F.lit("unknown"))
-            if isinstance(field.dataType, T.StringType):
-                inferred = inferred.when(F.try_divide(f"numeric_{i}", filled) >= NUMERIC_SHARE, F.lit("numeric"))
-                inferred = inferred.when(F.try_divide(f"date_{i}", filled) >= DATE_SHARE, F.lit("date-ish"))
-            inferred = inferred.otherwise(F.lit("text"))
-        if f"low_{i}" in totals.columns:
-            ranged = inferred.isin("numeric", "date-ish")
-            low = F.when(ranged, render_value(F.col(f"low_{i}"), field.dataType))
-            high = F.when(ranged, render_value(F.col(f"high_{i}"), field.dataType))
-        else:
-            low = high = nothing
-        entries.append(F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(field.name).alias("column_name"),
-            F.lit(field.dataType.simpleString().upper()).alias("declared_type"),
-            inferred.alias("inferred_type"),
-            F.col("rows").alias("row_count"),
-            (F.col("rows") - filled).alias("null_count"),
-            F.coalesce(F.try_divide(F.col("rows") - filled, F.col("rows")), F.lit(0.0)).alias("null_rate"),
-            low.alias("min_value"),
-            high.alias("max_value"),
-        ))
-    if not entries:
-        return totals.select(
-            F.lit(table_name).alias("table_name"), F.lit(None).cast("int").alias("ordinal"),
-            nothing.alias("column_name"), nothing.alias("declared_type"), nothing.alias("inferred_type"),
-            F.col("rows").alias("row_count"), F.lit(0).cast("bigint").alias("null_count"),
-            F.lit(0.0).alias("null_rate"), nothing.alias("min_value"), nothing.alias("max_value"),
-        )
-    return totals.select(F.lit(table_name).alias("table_name"), F.explode(F.array(*entries)).alias("c")).select(
-        "table_name", "c.*"
-    )
+def _name(text: str) -> str:
+    return "`" + text.replace("`", "``") + "`"
+
 
+def _literal(text: str | None) -> str:
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
-def _family(field: T.StructField) -> tuple[str, Column]:
-    column, dtype = _named(field), field.dataType
+
+def _family(dtype: T.DataType, value: str) -> tuple[str, str]:
+    """Family of a column type, and the SQL that brings a value of that type into it."""
     if isinstance(dtype, T.BooleanType):
-        return "whole", column.cast("int").cast("bigint")
+        return "whole", f"CAST(CAST({value} AS INT) AS BIGINT)"
     if isinstance(dtype, T.IntegralType):
-        return "whole", column.cast("bigint")
+        return "whole", f"CAST({value} AS BIGINT)"
     if isinstance(dtype, T.DecimalType):
-        # Wider integer digits than the shared type holds are kept as text rather than rounded.
+        # Wider digits than the shared type holds are kept as text rather than rounded.
         fits = dtype.precision - dtype.scale <= 20 and dtype.scale <= 18
-        return ("exact", column.cast("decimal(38,18)")) if fits else ("other", column.cast("string"))
+        return ("exact", f"CAST({value} AS DECIMAL(38, 18))") if fits else ("other", f"CAST({value} AS STRING)")
     if isinstance(dtype, T.FractionalType):
-        return "real", column.cast("double")
+        return "real", f"CAST({value} AS DOUBLE)"
     if isinstance(dtype, T.DateType):
-        return "day", column
+        return "day", value
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return "moment", column.cast("timestamp_ntz")
+        return "moment", f"CAST({value} AS TIMESTAMP_NTZ)"
     if isinstance(dtype, T.StringType):
-        return "text", column
+        return "text", value
     if isinstance(dtype, T.BinaryType):
-        return "other", F.lower(F.hex(column))
+        return "other", f"lower(hex({value}))"
     if isinstance(dtype, _NESTED):
-        return "other", F.to_json(column, {"ignoreNullFields": "false"})
-    return "other", column.cast("string")
+        return "other", f"to_json({value}, map('ignoreNullFields', 'false'))"
+    return "other", f"CAST({value} AS STRING)"
 
 
-def value_frequencies(df: DataFrame, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Count of every distinct non-null value of every column: ``ordinal``, one typed value, ``freq``."""
-    fields = _visible(df, max_columns)
-    placed = [_family(f) for f in fields]
-    used = [name for name in _FAMILIES if any(name == p[0] for p in placed)]
+def _slots(used: list[str], family: str | None, value: str = "NULL") -> str:
+    """Struct with one slot per family in use, all null but the given one."""
+    parts = [f"CAST({value if f == family else 'NULL'} AS {_FAMILIES[f]}) AS {f}" for f in used]
+    return f"struct({', '.join(parts)})"
 
-    def slot(name: str, value: Column) -> Column:
-        parts = [(value if f == name else F.lit(None)).cast(_FAMILIES[f]).alias(f) for f in used]
-        return F.when(value.isNotNull(), F.struct(*parts))
 
-    wide = df.select(*[slot(name, value).alias(str(i)) for i, (name, value) in enumerate(placed)])
-    long = wide.unpivot([], [str(i) for i in range(len(fields))], "ordinal", "value").where("value is not null")
-    return (
-        long.select(F.col("ordinal").cast("int").alias("ordinal"), "value.*")
-        .groupBy("ordinal", *used)
-        .agg(F.count(F.lit(1)).alias("freq"))
-    )
+def _keyed(tables: Tables) -> list[tuple[str | None, str, DataFrame]]:
+    if not tables:
+        raise ValueError("no tables to profile")
+    found = [(*(key if isinstance(key, tuple) else (None, key)), df) for key, df in tables.items()]
+    return sorted(found, key=lambda entry: (entry[0] or "", entry[1]))
 
 
-def distinct_counts(frequencies: DataFrame) -> DataFrame:
-    return frequencies.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+def _key_sql(db_id: str | None, table_name: str) -> list[str]:
+    return [f"{_literal(db_id)} AS db_id", f"{_literal(table_name)} AS table_name"]
 
 
-def top_values(frequencies: DataFrame, top_k: int = TOP_K) -> DataFrame:
-    """The ``top_k`` most frequent values per column, ties by value in its own order, rendered for print.
+def _used_families(tables: list[tuple[str | None, str, DataFrame]], max_columns: int) -> list[str]:
+    found = {_family(f.dataType, "x")[0] for _, _, df in tables for f in _visible(df, max_columns)}
+    return [name for name in _FAMILIES if name in found]
 
-    The rank filter becomes a per-task limit before the shuffle, so each task sends at most k rows per column.
-    """
-    if top_k <= 0:
-        raise ValueError("top_k must be > 0")
-    used = [c for c in frequencies.columns if c in _FAMILIES]
-    best = Window.partitionBy("ordinal").orderBy(F.desc("freq"), *[F.asc(c) for c in used])
-    shown = {
+
+def _shown(prefix: str, used: list[str]) -> Column:
+    """Printable form of the one typed value that is filled."""
+    forms = {
         "whole": lambda c: c.cast("string"),
         "exact": lambda c: F.rtrim(F.rtrim(c.cast("string"), F.lit("0")), F.lit(".")),
         "real": general_format,
@@ -208,48 +158,139 @@ def top_values(frequencies: DataFrame, top_k: int = TOP_K) -> DataFrame:
         "text": quoted_text,
         "other": lambda c: c,
     }
-    return (
-        frequencies.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= top_k)
-        .select("ordinal", "rank", "freq", F.coalesce(*[shown[c](F.col(c)) for c in used]).alias("value"))
-    )
+    shown = [forms[f](F.col(f"{prefix}{f}")) for f in used]
+    return F.coalesce(*shown) if shown else F.lit(None).cast("string")
 
 
-def profile_table(
-    df: DataFrame, table_name: str, max_columns: int = MAX_COLUMNS, top_k: int = TOP_K
+def _raw_stats(
+    db_id: str | None, table_name: str, df: DataFrame, max_columns: int, used: list[str]
 ) -> DataFrame:
-    """Full profile, one row per column. Sample lists hold at most ``top_k`` values."""
-    stats = column_stats(df, table_name, max_columns)
-    if not df.columns:
-        return stats.select(
-            "*", F.lit(0).cast("bigint").alias("distinct_count"),
-            F.array().cast("array<string>").alias("sample_values"),
+    """Counts and typed ranges of one table in long form. Expressions over many columns are written as SQL text:
+    one call builds them all, where a call per column operation would make planning slower than running."""
+    measures, entries = ["count(1) AS rows"], []
+    for i, field in enumerate(_visible(df, max_columns)):
+        column, dtype = _name(field.name), field.dataType
+        by_declaration = declared_class(dtype, field.name)
+        is_text = isinstance(dtype, T.StringType)
+        measures.append(f"count({column}) AS filled_{i}")
+        classed = by_declaration is None and is_text
+        if classed:
+            measures.append(f"count_if({_NUMERIC_SQL.format(column)}) AS numeric_{i}")
+            measures.append(f"count_if({_date_sql(column)}) AS dates_{i}")
+        ranged = not isinstance(dtype, _NESTED) and (by_declaration is not None or is_text)
+        if ranged:
+            measures += [f"min({column}) AS low_{i}", f"max({column}) AS high_{i}"]
+
+        def side(name: str) -> str:
+            return _slots(used, *_family(dtype, f"{name}_{i}")) if ranged else _slots(used, None)
+
+        entries.append(
+            f"struct({i} AS ordinal, {_literal(field.name)} AS column_name, "
+            f"{_literal(dtype.simpleString().upper())} AS declared_type, {_literal(by_declaration)} AS declared_class, "
+            f"filled_{i} AS filled, {f'numeric_{i}' if classed else 'CAST(NULL AS BIGINT)'} AS numeric, "
+            f"{f'dates_{i}' if classed else 'CAST(NULL AS BIGINT)'} AS dates, {side('low')} AS low, {side('high')} AS high)"
         )
-    frequencies = value_frequencies(df, max_columns)
-    distinct = distinct_counts(frequencies)
-    samples = (
-        top_values(frequencies, top_k)
-        .groupBy("ordinal")
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("ranked"))
-        .select("ordinal", F.col("ranked.value").alias("sample_values"))
+    if not entries:  # a table without columns still has a row count
+        nothing = "CAST(NULL AS STRING)"
+        entries.append(
+            f"struct(CAST(NULL AS INT) AS ordinal, {nothing} AS column_name, {nothing} AS declared_type, "
+            f"{nothing} AS declared_class, rows AS filled, CAST(NULL AS BIGINT) AS numeric, CAST(NULL AS BIGINT) AS dates, "
+            f"{_slots(used, None)} AS low, {_slots(used, None)} AS high)"
+        )
+    long = df.selectExpr(*measures).selectExpr("rows", f"explode(array({', '.join(entries)})) AS c")
+    return long.selectExpr(*_key_sql(db_id, table_name), "rows", "c.*")
+
+
+def column_stats(tables: Tables, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """One row per column: row and null counts, inferred type, and the rendered range of numeric and date columns.
+
+    Each table is one aggregation with all its columns side by side. Types and printed ranges are worked out on
+    the long form of all tables together, so the plan stays small.
+    """
+    keyed = _keyed(tables)
+    used = _used_families(keyed, max_columns) or ["other"]
+    raw = reduce(DataFrame.unionByName, [_raw_stats(d, n, df, max_columns, used) for d, n, df in keyed])
+    typed = raw.selectExpr("*", f"""
+        CASE WHEN column_name IS NULL THEN NULL ELSE coalesce(declared_class, CASE
+          WHEN filled = 0 THEN 'unknown'
+          WHEN try_divide(numeric, filled) >= {NUMERIC_SHARE} THEN 'numeric'
+          WHEN try_divide(dates, filled) >= {DATE_SHARE} THEN 'date-ish'
+          ELSE 'text' END) END AS inferred_type""")
+    ranged = F.col("inferred_type").isin("numeric", "date-ish")
+    return typed.select(
+        *KEYS, "column_name", "declared_type", "inferred_type",
+        F.expr("rows AS row_count"), F.expr("rows - filled AS null_count"),
+        F.expr("coalesce(try_divide(rows - filled, rows), 0.0D) AS null_rate"),
+        F.when(ranged, _shown("low.", used)).alias("min_value"),
+        F.when(ranged, _shown("high.", used)).alias("max_value"),
     )
+
+
+def value_frequencies(tables: Tables, max_columns: int = MAX_COLUMNS) -> DataFrame:
+    """Count of every distinct non-null value of every column: the column's key, one typed value, ``freq``.
+
+    All columns of all tables go through one shuffle, with counts combined before it.
+    """
+    keyed = _keyed(tables)
+    used = _used_families(keyed, max_columns) or ["other"]
+    parts = []
+    for db_id, table_name, df in keyed:
+        fields = _visible(df, max_columns)
+        if not fields:
+            continue
+        wide = df.selectExpr(*[
+            f"CASE WHEN {_name(f.name)} IS NOT NULL THEN {_slots(used, *_family(f.dataType, _name(f.name)))} END AS `{i}`"
+            for i, f in enumerate(fields)
+        ])
+        long = wide.unpivot([], wide.columns, "ordinal", "value").where("value IS NOT NULL")
+        parts.append(long.selectExpr(*_key_sql(db_id, table_name), "CAST(ordinal AS INT) AS ordinal", "value.*"))
+    if not parts:
+        raise ValueError("no columns to profile")
+    return reduce(DataFrame.unionAll, parts).groupBy(*KEYS, *used).agg(F.count(F.lit(1)).alias("freq"))
+
+
+def distinct_counts(frequencies: DataFrame) -> DataFrame:
+    return frequencies.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
+def top_values(frequencies: DataFrame, top_k: int = TOP_K) -> DataFrame:
+    """The ``top_k`` most frequent values per column, ties by value in its own order, rendered for print.
+
+    The rank filter becomes a per-task limit before the shuffle, so each task sends at most k rows per column.
+    """
+    if top_k <= 0:
+        raise ValueError("top_k must be > 0")
+    used = [c for c in frequencies.columns if c in _FAMILIES]
+    best = Window.partitionBy(*KEYS).orderBy(F.desc("freq"), *used)
     return (
-        stats.join(distinct, "ordinal", "left")
-        .join(samples, "ordinal", "left")
-        .select(
-            *stats.columns,
-            F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"),
-            F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
-        )
+        frequencies.withColumn("rank", F.row_number().over(best))
+        .where(F.col("rank") <= top_k)
+        .select(*KEYS, "rank", "freq", _shown("", used).alias("value"))
     )
 
 
-def profile_tables(
-    tables: Mapping[str, DataFrame], max_columns: int = MAX_COLUMNS, top_k: int = TOP_K, db_id: str | None = None
-) -> DataFrame:
-    """Profiles of several tables under one ``db_id``."""
-    if not tables:
-        raise ValueError("no tables to profile")
-    parts = [profile_table(df, name, max_columns, top_k) for name, df in sorted(tables.items())]
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.select(F.lit(db_id).cast("string").alias("db_id"), *whole.columns)
+def profile_tables(tables: Tables, max_columns: int = MAX_COLUMNS, top_k: int = TOP_K) -> DataFrame:
+    """Full profiles, one row per column. Sample lists hold at most ``top_k`` values.
+
+    ``tables`` maps a table name, or a (db_id, table name) pair, to its DataFrame.
+    """
+    stats = column_stats(tables, max_columns)
+    none = F.array().cast("array<string>")
+    if not any(df.columns for df in tables.values()):
+        return stats.select("*", F.lit(0).cast("bigint").alias("distinct_count"), none.alias("sample_values"))
+    frequencies = value_frequencies(tables, max_columns)
+    counted = distinct_counts(frequencies).select(
+        *KEYS, "distinct_count", F.lit(None).cast("struct<rank:int,value:string>").alias("best"))
+    best = top_values(frequencies, top_k).select(
+        *KEYS, F.lit(None).cast("bigint").alias("distinct_count"), F.struct("rank", "value").alias("best"))
+    # At most 1 + top_k rows per column meet here.
+    found = counted.unionAll(best).groupBy(*[F.col(k).alias(f"_{k}") for k in KEYS]).agg(
+        F.max("distinct_count").alias("distinct_count"),
+        F.array_sort(F.collect_list("best"))["value"].alias("sample_values"),
+    )
+    same = F.expr("db_id <=> _db_id AND table_name = _table_name AND ordinal = _ordinal")
+    return stats.join(found, same, "left").select(
+        *stats.columns,
+        F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count"),
+        F.coalesce("sample_values", none).alias("sample_values"),
+    )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from quorumql.functions.render import render_value
@@ -44,12 +42,8 @@ def _tables(spark, folder) -> dict[str, DataFrame]:
     return {**found, "texts": inputs.text_columns(spark, folder)}
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def _stats(spark, folder) -> DataFrame:
-    return _union([profiling.column_stats(df, name) for name, df in _tables(spark, folder).items()])
+    return profiling.column_stats(_tables(spark, folder))
 
 
 def _rendered(column: str, kind: str) -> str:
@@ -120,20 +114,14 @@ def _minmax(spark, folder):
 @query("profile_distinct", _per_column(lambda t, i, c, k: (
     f"SELECT '{t}' AS table_name, {i} AS ordinal, count(DISTINCT {c}) AS distinct_count FROM {t} HAVING count({c}) > 0")))
 def _distinct(spark, folder):
-    return _union([
-        profiling.distinct_counts(profiling.value_frequencies(df)).select(F.lit(n).alias("table_name"), "ordinal", "distinct_count")
-        for n, df in _tables(spark, folder).items()
-    ])
+    return profiling.distinct_counts(profiling.value_frequencies(_tables(spark, folder))).drop("db_id")
 
 
 @query("profile_topk", _per_column(lambda t, i, c, k: (
     f"SELECT * FROM (SELECT '{t}' AS table_name, {i} AS ordinal, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank, "
     f"count(*) AS freq, {_rendered(c, k)} AS value FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 3")))
 def _topk(spark, folder):
-    return _union([
-        profiling.top_values(profiling.value_frequencies(df), 3).select(F.lit(n).alias("table_name"), "ordinal", "rank", "freq", "value")
-        for n, df in _tables(spark, folder).items()
-    ])
+    return profiling.top_values(profiling.value_frequencies(_tables(spark, folder)), 3).drop("db_id")
 
 
 _DOCUMENT_CLASSES = """SELECT lang, count(*) AS texts, count(*) FILTER (WHERE {0}) AS looking FROM (
