@@ -14,6 +14,7 @@ from quorumql.functions.cells import canonical_cells
 from quorumql.session import new_folder
 
 DEADLINE_SECONDS = 20.0
+_INTERRUPT_SECONDS = 0.5
 _ROWS = "text_id int, row_id bigint, cells array<string>"
 _RUNS = "text_id int, error string, elapsed_s double, columns array<string>"
 _PARTITION_BITS = 33
@@ -43,17 +44,21 @@ def _run_one(
 ) -> _Run:
     started = time.perf_counter()
     tag = f"statement-{uuid.uuid4().hex}"
-    late = threading.Event()
+    finished = threading.Event()
+    context = spark.sparkContext
 
-    def stop() -> None:
-        late.set()
-        spark.interruptTag(tag)
+    def watch() -> None:
+        # A job may start after the deadline has passed, so it is interrupted until the statement has ended.
+        wait = timeout_s
+        while not finished.wait(wait):
+            context.cancelJobsWithTag(tag)
+            wait = _INTERRUPT_SECONDS
 
-    timer = threading.Timer(timeout_s, stop)
+    watcher = threading.Thread(target=watch, daemon=True)
     columns: list[str] = []
     error: str | None = None
-    spark.addTag(tag)
-    timer.start()
+    context.addJobTag(tag)
+    watcher.start()
     try:
         if max_rows is not None and max_rows < 0:
             raise ValueError("max_rows must be non-negative when provided")
@@ -68,11 +73,13 @@ def _run_one(
     except Exception as problem:  # noqa: BLE001 - every failure becomes a record
         error, columns = _describe(problem), []
     finally:
-        timer.cancel()
-        spark.removeTag(tag)
-    if error is not None and late.is_set():
+        finished.set()
+        watcher.join()
+        context.removeJobTag(tag)
+    elapsed = time.perf_counter() - started
+    if error is not None and elapsed >= timeout_s:
         error = f"deadline of {timeout_s:g} s exceeded"
-    return _Run(text_id, error, time.perf_counter() - started, columns)
+    return _Run(text_id, error, elapsed, columns)
 
 
 def run_statements(
@@ -88,7 +95,8 @@ def run_statements(
     Equal texts run once and share their result. Each distinct text is planned on the driver, as any Spark query
     is, and its rows are written by the executors; the driver holds one short record per text. Executions repeat
     the input columns plus error, elapsed_s, row_count, truncated and columns. Result rows carry the input columns
-    (without the text), ``row_pos`` and ``cells``; positions follow the statement's own ORDER BY.
+    (without the text), ``row_pos`` and ``cells``; positions follow the statement's own ORDER BY. At the deadline the
+    statement's jobs are cancelled; a task stuck in one long computation ends with ``spark.task.reaper.enabled``.
     """
     spark = statements.sparkSession
     folder = new_folder(spark, "statements")
