@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F, types as T
 
 from quorumql.functions.text import clip, strip
@@ -70,9 +72,20 @@ def render_value(value: Column, dtype: T.DataType, max_len: int = 40) -> Column:
     return value.cast("string")
 
 
+def fixed_format(value: Column, places: int) -> Column:
+    """Fixed-point text. The pattern rounds everything below one unit in the last place down; values from half a
+    unit up are set to one unit first."""
+    half, unit = float(f"5e-{places + 1}"), float(f"1e-{places}")
+    size = F.abs(value)
+    # The double next to half a unit may lie just below it; then only larger values round up.
+    from_half = size >= half if Decimal(half) >= Decimal(f"5e-{places + 1}") else size > half
+    shown = F.when(from_half & (size < unit), F.signum(value) * unit).otherwise(value)
+    return pattern_format(shown, "0." + "0" * places)
+
+
 def fixed_or_na(value: Column, places: int = 4) -> Column:
     """Fixed-point text, or ``n/a`` for a missing number."""
-    return F.coalesce(pattern_format(value.cast("double"), "0." + "0" * places), F.lit("n/a"))
+    return F.coalesce(fixed_format(value.cast("double"), places), F.lit("n/a"))
 
 
 def json_text(text: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quorumql.functions.render import pattern_format
+from quorumql.functions.render import fixed_format
 from quorumql.operators.profiling import MAX_COLUMNS, check_mode, profile_tables
 
 _CATALOG = "db_id string, table_name string, ordinal int, column_name string, declared_type string, nullable boolean"
@@ -23,7 +23,7 @@ def dictionary_lines(profiles: DataFrame, include_samples: bool = True) -> DataF
     """One text line per profiled column."""
     pieces = [
         F.concat(F.lit("type="), "inferred_type"),
-        F.concat(F.lit("null_rate="), pattern_format(F.col("null_rate"), "0.000")),
+        F.concat(F.lit("null_rate="), fixed_format(F.col("null_rate"), 3)),
         F.concat(F.lit("distinct="), F.col("distinct_count").cast("string")),
         F.concat(F.lit("min="), "min_value", F.lit(", max="), "max_value"),
     ]

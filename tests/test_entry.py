@@ -21,6 +21,13 @@ def connection(folder):
     return found
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# One query per area; tools/check_oracles.py runs all of them.
+SAMPLE = [
+    "batch_assign", "canonical_cells", "exec_match", "extract_sql", "preview_counts", "profile_topk", "rank_arms",
+    "result_match_unordered", "summary_by_group", "tool_budget",
+]
+
+
+@pytest.mark.parametrize("name", SAMPLE)
 def test_query_equals_its_sql(spark, connection, folder, name):
     assert compare(spark, connection, name, folder).startswith("ok")
