@@ -126,8 +126,13 @@ def _family(dtype: T.DataType, value: str) -> tuple[str, str]:
 
 
 def _slots(used: list[str], family: str | None, value: str = "NULL") -> str:
-    """Struct with one slot per family in use, all null but the given one."""
-    parts = [f"CAST({value if f == family else 'NULL'} AS {_FAMILIES[f]}) AS {f}" for f in used]
+    """Struct with one slot per family in use, all null but the given one.
+
+    Unpivoting gives all structs the type of the first, so a slot must count as nullable even for a column without
+    nulls; the CASE makes it so.
+    """
+    filled = f"CASE WHEN {value} IS NOT NULL THEN {value} END"
+    parts = [f"CAST({filled if f == family else 'NULL'} AS {_FAMILIES[f]}) AS {f}" for f in used]
     return f"struct({', '.join(parts)})"
 
 
