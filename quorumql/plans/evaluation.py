@@ -12,6 +12,7 @@ from quorumql.operators.compare import execution_match, multiset_match, with_emp
 from quorumql.operators.metrics import run_summary
 from quorumql.operators.statements import DEADLINE_SECONDS, run_statements
 from quorumql.operators.voting import majority_vote, prediction_records, question_rollup, vote_keys
+from quorumql.session import freeze
 
 
 @dataclass(frozen=True)
@@ -43,12 +44,13 @@ def evaluate(
     """
     on = list(keys)
     keyed = vote_keys(samples, results, keys, ordered)
-    votes = majority_vote(keyed, keys)
+    # One small row per question, read by every branch below; written once so result rows are not hashed again.
+    votes = freeze(majority_vote(keyed, keys), "votes")
     picked = votes.select(*on, F.col("selected_sample").alias("sample_index"))
-    chosen = keyed.join(picked, [*on, "sample_index"], "left_semi")
+    chosen = samples.join(picked, [*on, "sample_index"], "left_semi")
     chosen_rows = results.join(picked, [*on, "sample_index"], "left_semi")
     matches = execution_match(chosen, gold, multiset_match(chosen_rows, gold_results, keys, ordered), keys)
-    predictions = prediction_records(examples, keyed, gold, votes, question_rollup(samples, keys), matches, keys)
+    predictions = prediction_records(examples, samples, gold, votes, question_rollup(samples, keys), matches, keys)
     return Evaluation(keyed, votes, predictions)
 
 
