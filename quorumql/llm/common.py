@@ -10,7 +10,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 #: Texts of one step inside a task are taken in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
@@ -133,18 +132,27 @@ def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return np.concatenate(owners), np.concatenate(found)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows for each value of ``label``, those with the smallest hash of ``key``.
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:
+    """About ``per_class`` rows of each value of ``label`` (all, if there are fewer), and the row count of each value.
 
-    Only keys and labels are shuffled to find each label's largest hash kept; labels must be few.
+    A row is taken if the hash of its key, as a fraction, lies below ``per_class`` over its label's count, so only counts
+    are shuffled. Labels must be few; the rows are limited to twice the aim.
     """
-    order = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    ranked = rows.select(F.col(label).alias("label"), order.alias("h")).withColumn(
-        "n", F.row_number().over(Window.partitionBy("label").orderBy("h")))
-    ends = ranked.filter(F.col("n") <= per_class).groupBy("label").agg(F.max("h").alias("end"), F.count("*").alias("n")).collect()
-    if not ends:
-        return rows.limit(0)
+    counts = {row[0]: row[1] for row in rows.groupBy(label).count().collect()}
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), 11) / F.lit(float(1 << 53))
     kept = F.lit(False)
-    for row in ends:
-        kept = kept | ((F.col(label) == F.lit(row.label)) & (order <= F.lit(row.end)))
-    return rows.filter(kept).limit(sum(row.n for row in ends))
+    for value, n in counts.items():
+        kept = kept | (F.col(label).eqNullSafe(F.lit(value)) & (place < F.lit(per_class / n)))
+    return rows.filter(kept).limit(2 * per_class * max(1, len(counts))), counts
+
+
+def tagged(df: DataFrame, wanted: str = "row") -> tuple[DataFrame, str]:
+    """``df`` with a number for each row, the same at every reading of a stored table."""
+    name = free_name(df, wanted)
+    return df.withColumn(name, F.monotonically_increasing_id()), name
+
+
+def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the stored table ``docs`` whose numbers are in the one column of ``rows``."""
+    own, name = tagged(docs)
+    return own.join(rows.toDF(name), name, "left_semi").select(*docs.columns)

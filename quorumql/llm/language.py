@@ -140,10 +140,10 @@ def calibrate(model: LanguageModel, left_out: list[tuple[str, int]]) -> None:
 
 def train_language_model(docs: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id",
                          per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> LanguageModel:
-    """Fit on rows whose key is not held out: ``per_language`` rows at most for each language, of ``most_chars`` at most."""
+    """Fit on rows whose key is not held out: about ``per_language`` for each language, of ``most_chars`` characters at most."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(language).alias("lang")).filter(
         ~held_out(F.col("key")) & F.col("lang").isNotNull() & (F.char_length("text") <= most_chars))
-    taken = bounded_sample(rows, "lang", "key", per_language).orderBy("lang", "key", "text").toArrow()
+    taken = bounded_sample(rows, "lang", "key", per_language)[0].orderBy("lang", "key", "text").toArrow()
     return fit(taken.column("text").to_pylist(), taken.column("lang").to_pylist())
 
 

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quorumql.llm.common import held_out, table
+from quorumql.llm.exact import exact_groups
 from quorumql.llm.language import predict_language, train_language_model
 from quorumql.llm.packing import pack
+from quorumql.llm.simhash import near_groups
 from quorumql.llm.tokens import byte_length, count_tokens
+from quorumql.llm.toxicity import score_toxicity, train_toxicity_model
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +32,23 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+@query("op1_exact_dedup", """
+    WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
+         g AS (SELECT s, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY s)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM t JOIN g USING (s)""")
+def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(table(spark, folder, "documents")).select(
+        F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+@query("op3_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done, name = score_toxicity(docs, train_toxicity_model(docs, table(spark, folder, "labels")))
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(name).alias("score"),
+                       (F.col(name) >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     done, name = count_tokens(table(spark, folder, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -41,6 +61,12 @@ def binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op8_simhash")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_groups(table(spark, folder, "documents")).select(
+        F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 @query("op10_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
