@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from quorumql.llm.common import held_out, table
 from quorumql.llm.exact import exact_groups
+from quorumql.llm.extraction import extract_text, train_tree_model
 from quorumql.llm.language import predict_language, train_language_model
+from quorumql.llm.neighbours import nearest
 from quorumql.llm.packing import pack
+from quorumql.llm.pieces import encoding_report
 from quorumql.llm.simhash import near_groups
 from quorumql.llm.tokens import byte_length, count_tokens
 from quorumql.llm.toxicity import score_toxicity, train_toxicity_model
@@ -19,7 +22,7 @@ from quorumql.llm.toxicity import score_toxicity, train_toxicity_model
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-TOKEN_LIMIT = 4096
+TOKEN_LIMIT, VECTOR_WIDTH = 4096, 64
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -41,6 +44,12 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
         F.col("key").alias("doc_id"), F.col("keep_key").alias("keep_id"), "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
+@query("op2_html_extraction")
+def html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    done, names = extract_text(table(spark, folder, "pages"), train_tree_model())
+    return done.select("page_id", "url", F.col(names["text"]).alias("text"), F.col(names["n_chars"]).alias("n_chars"))
+
+
 @query("op3_toxicity")
 def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -61,12 +70,22 @@ def binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op7_neighbours")
+def neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, width=VECTOR_WIDTH)
+
+
 @query("op8_simhash")
 def simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents")).select(
         F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query("op9_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding_report(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op10_language_id")
 def language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
