@@ -12,6 +12,7 @@ from quorumql.llm.common import held_out, table
 from quorumql.llm.exact import exact_groups
 from quorumql.llm.extraction import extract_text, train_tree_model
 from quorumql.llm.language import predict_language, train_language_model
+from quorumql.llm.licences import scan_documents, train_licence_model
 from quorumql.llm.neighbours import nearest
 from quorumql.llm.packing import pack
 from quorumql.llm.pieces import encoding_report
@@ -70,6 +71,13 @@ def binary_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op6_licence_scan")
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    done = scan_documents(docs, train_licence_model(docs))
+    return done.select(F.col("key").alias("doc_id"), "families", "n_paragraphs", "confidence")
+
+
 @query("op7_neighbours")
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, width=VECTOR_WIDTH)
