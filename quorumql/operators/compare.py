@@ -51,18 +51,26 @@ def fingerprints(results: DataFrame, keys: Sequence[str], ordered: bool = False)
 
 
 def fingerprint_match(
-    predicted: DataFrame, gold: DataFrame, keys: Sequence[str] = ("index",), samples: Sequence[str] = ("sample_index",),
-    ordered: bool = False,
+    predicted: DataFrame, predicted_rows: DataFrame, gold: DataFrame, gold_rows: DataFrame,
+    keys: Sequence[str] = ("index",), samples: Sequence[str] = ("sample_index",), ordered: bool = False,
 ) -> DataFrame:
-    """``rows_match`` of every sample against the one gold result of its key, without copying gold rows per sample."""
-    ours = fingerprints(predicted, [*keys, *samples], ordered)
-    theirs = fingerprints(gold, keys, ordered).select(
-        *keys, F.struct("n_rows", "hash_a", "hash_b").alias("gold_print")
-    )
+    """``exec_match`` of every sample against the one gold result of its key, without copying gold rows per sample.
+
+    ``predicted`` and ``gold`` are execution tables, so every sample has a row: false if it or the gold query failed
+    or the key has no gold query, and else whether both return the same rows; two results without rows are equal.
+    """
+    empty = F.struct(F.lit(0).cast("bigint").alias("n_rows"), *[
+        F.lit(0).cast("decimal(30,0)").alias(name) for name in ("hash_a", "hash_b")])
+
+    def printed(runs: DataFrame, rows: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+        prints = fingerprints(rows, by, ordered).select(*by, F.struct("n_rows", "hash_a", "hash_b").alias("_print"))
+        joined = runs.select(*by, F.col("error").isNull().alias("_ran")).join(prints, list(by), "left")
+        return joined.select(*by, F.when(F.col("_ran"), F.coalesce("_print", empty)).alias(name))
+
+    ours = printed(predicted, predicted_rows, [*keys, *samples], "_ours")
+    theirs = printed(gold, gold_rows, keys, "_gold")
     return ours.join(theirs, list(keys), "left").select(
-        *keys, *samples,
-        F.coalesce(F.struct("n_rows", "hash_a", "hash_b") == F.col("gold_print"), F.lit(False)).alias("rows_match"),
-    )
+        *keys, *samples, F.coalesce(F.col("_ours") == F.col("_gold"), F.lit(False)).alias("exec_match"))
 
 
 def execution_match(
@@ -70,7 +78,8 @@ def execution_match(
 ) -> DataFrame:
     """``exec_match`` per key: both sides ran without error and their rows match.
 
-    ``predicted`` and ``gold`` are execution tables. A key with rows on neither side counts as equal.
+    ``predicted`` and ``gold`` are execution tables, ``matches`` comes from ``multiset_match`` over the rows of both.
+    A key with rows on neither side counts as equal.
     """
     golds = gold.select(*keys, F.col("error").alias("gold_error"), F.lit(True).alias("gold_known"))
     joined = predicted.join(golds, list(keys), "left").join(matches, list(keys), "left")

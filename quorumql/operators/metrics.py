@@ -65,9 +65,9 @@ def _finish(sums: DataFrame, by: Sequence[str]) -> DataFrame:
         (F.col("total_completion_tokens") / total).alias("avg_completion_tokens_per_example"),
         (tokens / total).alias("avg_total_tokens_per_example"),
         (F.lit(1.0) - executable_rate).alias("invalid_sql_rate"),
-        (F.col("_fractions") / total).alias("avg_self_consistency_vote_fraction"),
-        (F.col("_sizes") / total).alias("avg_self_consistency_vote_size"),
-        (F.col("_distinct") / total).alias("avg_self_consistency_distinct_execution_results"),
+        (F.coalesce("_fractions", F.lit(0)) / total).alias("avg_self_consistency_vote_fraction"),
+        (F.coalesce("_sizes", F.lit(0)) / total).alias("avg_self_consistency_vote_size"),
+        (F.coalesce("_distinct", F.lit(0)) / total).alias("avg_self_consistency_distinct_execution_results"),
         "num_self_consistency_tie_examples",
     )
 

@@ -44,7 +44,7 @@ def with_position(
         slots = {f"_order_{i}": c for i, c in enumerate(_columns(order))}
         narrow = df.select(*key, *[c.alias(n) for n, c in slots.items()])
         placed = with_position(narrow, list(slots), name).select(*key, name)
-        return _null_safe_join(df, placed, key)
+        return null_safe_join(df, placed, key)
     rows = _segmented(df, order)
     sizes = rows.groupBy(SEGMENT).agg(F.count(F.lit(1)).alias("_rows"))
     # One row per partition of the sort, so this window is as small as the partition count.
@@ -63,7 +63,7 @@ def with_group_position(
     """Add the 0-based position of each row inside its group; a hot group is numbered by many tasks."""
     placed = with_position(df, [*keys, *order], "_overall")
     firsts = placed.groupBy(*keys).agg(F.min("_overall").alias("_first"))
-    joined = _null_safe_join(placed, firsts, keys)
+    joined = null_safe_join(placed, firsts, keys)
     return joined.withColumn(name, F.col("_overall") - F.col("_first")).drop("_overall", "_first")
 
 
@@ -95,7 +95,7 @@ def running(
     carried = per_segment.select(
         SEGMENT, *keys, *[fold(f"_part_{s}").over(before).alias(f"_carry_{s}") for s in sources]
     )
-    joined = _null_safe_join(local, carried, [SEGMENT, *keys])
+    joined = null_safe_join(local, carried, [SEGMENT, *keys])
     result = {}
     for name, source in zip(totals, sources):
         here, carry = F.col(f"_local_{source}"), F.col(f"_carry_{source}")
@@ -106,11 +106,11 @@ def running(
     return joined.withColumns(result).select(*df.columns, *totals)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on ``keys`` where null equals null, keeping the left key columns once."""
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where null equals null, keeping the left key columns once."""
     renamed = right.select(*[F.col(k).alias(f"_right_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     condition = None
     for k in keys:
         part = left[k].eqNullSafe(renamed[f"_right_{k}"])
         condition = part if condition is None else condition & part
-    return left.join(renamed, condition).drop(*[f"_right_{k}" for k in keys])
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])

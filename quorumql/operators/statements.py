@@ -1,42 +1,57 @@
-"""Running many SQL statements as Spark jobs; what goes wrong with one is recorded as data."""
+"""Running many SQL statements as Spark jobs, each against its own database; what goes wrong is recorded as data."""
 
 from __future__ import annotations
 
+import re
 import threading
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quorumql.functions.cells import canonical_cells
-from quorumql.session import new_folder
+from quorumql.operators.positions import null_safe_join
+from quorumql.session import freeze, new_folder
 
 DEADLINE_SECONDS = 20.0
 _INTERRUPT_SECONDS = 0.5
-_ROWS = "text_id int, row_id bigint, cells array<string>"
-_RUNS = "text_id int, error string, elapsed_s double, columns array<string>"
+_ROWS = "text_id bigint, row_id bigint, cells array<string>"
+_RUNS = "text_id bigint, error string, error_condition string, elapsed_s double, columns array<string>"
 _PARTITION_BITS = 33
+#: Finished runs that the driver holds before it writes them to the shared folder.
+_RUNS_HELD = 500
+_NUMBERED = re.compile(r"#\d+L?")
 
 
 @dataclass(frozen=True)
 class _Run:
     text_id: int
     error: str | None
+    condition: str | None
     elapsed_s: float
     columns: list[str]
 
 
 def as_query(spark: SparkSession, sql: str) -> DataFrame:
-    """The statement as a DataFrame. It is placed in a FROM clause, where only queries are allowed."""
-    return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n) AS statement")
+    """The statement as a DataFrame.
+
+    It has to be a whole statement by itself, which EXPLAIN checks without carrying anything out, and it is placed
+    in a FROM clause, where only queries are allowed.
+    """
+    text = sql.strip().rstrip(";")
+    spark.sql(f"EXPLAIN {text}")
+    return spark.sql(f"SELECT * FROM (\n{text}\n) AS statement")
 
 
-def _describe(error: Exception) -> str:
+def describe_error(error: Exception) -> tuple[str, str | None]:
+    """The whole message (without the plan and its column numbers, which change from run to run), and its condition."""
     condition = getattr(error, "getCondition", lambda: None)()
-    first_line = str(error).strip().split("\n")[0]
-    return condition or first_line or type(error).__name__
+    message = str(error).split("\n\nJVM stacktrace:")[0].strip()
+    message = _NUMBERED.sub("", re.split(r";\n(?=['+:!]|\w)", message, maxsplit=1)[0]).strip()
+    return message or type(error).__name__, condition
 
 
 def _run_one(
@@ -57,6 +72,7 @@ def _run_one(
     watcher = threading.Thread(target=watch, daemon=True)
     columns: list[str] = []
     error: str | None = None
+    condition: str | None = None
     context.addJobTag(tag)
     watcher.start()
     try:
@@ -71,15 +87,15 @@ def _run_one(
             F.monotonically_increasing_id().alias("row_id"), canonical_cells(plain, precision=precision).alias("cells")
         ).write.parquet(f"{folder}/text_id={text_id}")
     except Exception as problem:  # noqa: BLE001 - every failure becomes a record
-        error, columns = _describe(problem), []
+        (error, condition), columns = describe_error(problem), []
     finally:
         finished.set()
         watcher.join()
         context.removeJobTag(tag)
     elapsed = time.perf_counter() - started
     if error is not None and elapsed >= timeout_s:
-        error = f"deadline of {timeout_s:g} s exceeded"
-    return _Run(text_id, error, elapsed, columns)
+        error, condition = f"deadline of {timeout_s:g} s exceeded", None
+    return _Run(text_id, error, condition, elapsed, columns)
 
 
 def run_statements(
@@ -89,31 +105,63 @@ def run_statements(
     workers: int = 8,
     precision: int = 6,
     sql: str = "sql",
+    database: str | None = None,
+    sessions: Callable[[str], SparkSession] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run every statement of a table and return (executions, result rows).
 
-    Equal texts run once and share their result. Each distinct text is planned on the driver, as any Spark query
-    is, and its rows are written by the executors; the driver holds one short record per text. Executions repeat
-    the input columns plus error, elapsed_s, row_count, truncated and columns. Result rows carry the input columns
-    (without the text), ``row_pos`` and ``cells``; positions follow the statement's own ORDER BY. At the deadline the
-    statement's jobs are cancelled; a task stuck in one long computation ends with ``spark.task.reaper.enabled``.
+    With ``database`` naming a column, each statement runs in ``sessions(its database)``, a session whose tables are
+    that database's own; without it all run in the table's session. Statements with equal database and text run once
+    and share their result. Each is planned on the driver, as any Spark query is, and its rows are written by the
+    executors; texts are numbered in a stored table and come to the driver a few at a time, and what became of them
+    is written in turn. Executions repeat the input columns plus error (the whole message), error_condition,
+    elapsed_s, row_count, truncated and columns. Result rows carry the input columns (without the text), ``row_pos``
+    and ``cells``; positions follow the statement's own ORDER BY. At the deadline the statement's jobs are cancelled;
+    a task stuck in one long computation ends with ``spark.task.reaper.enabled``.
     """
+    if (database is None) != (sessions is None):
+        raise ValueError("a database column and the sessions of its databases come together")
     spark = statements.sparkSession
-    folder = new_folder(spark, "statements")
-    texts = statements.select(sql).where(F.coalesce(F.col(sql), F.lit("")) != "").distinct()
+    folder, records = new_folder(spark, "statements"), new_folder(spark, "runs")
+    by = [sql] if database is None else [database, sql]
+    distinct = statements.select(*by).where(F.coalesce(F.col(sql), F.lit("")) != "").distinct()
+    texts = freeze(distinct.withColumn("text_id", F.monotonically_increasing_id()), "texts")
+    opened: dict[str, SparkSession] = {}
+
+    def submitted(pool: ThreadPoolExecutor) -> Iterator[_Run]:
+        """Runs in order of completion; as many texts are held as there are workers."""
+        running = set()
+        for row in texts.toLocalIterator():
+            own = spark
+            if database is not None:
+                name = row[database]
+                if name not in opened:
+                    opened[name] = sessions(name)
+                own = opened[name]
+            if len(running) >= max(1, workers):
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                yield from (d.result() for d in done)
+            running.add(pool.submit(_run_one, own, row["text_id"], row[sql], folder, timeout_s, max_rows, precision))
+        yield from (r.result() for r in running)
+
+    held: list[tuple] = []
+    any_ran = False
+
+    def store() -> None:
+        spark.createDataFrame(held, _RUNS).coalesce(1).write.mode("append").parquet(records)
+        held.clear()
 
-    records: list[_Run] = []
-    numbered: list[tuple[int, str]] = []
     with ThreadPoolExecutor(max_workers=max(1, workers)) as pool:
-        waiting = []
-        for text_id, row in enumerate(texts.toLocalIterator()):
-            numbered.append((text_id, row[0]))
-            waiting.append(pool.submit(_run_one, spark, text_id, row[0], folder, timeout_s, max_rows, precision))
-        records = [w.result() for w in waiting]
-
-    text_ids = spark.createDataFrame(numbered, f"text_id int, {sql} string")
-    runs = spark.createDataFrame([(r.text_id, r.error, r.elapsed_s, r.columns) for r in records], _RUNS)
-    if any(r.error is None for r in records):
+        for run in submitted(pool):
+            any_ran = any_ran or run.error is None
+            held.append((run.text_id, run.error, run.condition, run.elapsed_s, run.columns))
+            if len(held) >= _RUNS_HELD:
+                store()
+        store()
+
+    text_ids = texts.select("text_id", *by)
+    runs = spark.read.schema(_RUNS).parquet(records)
+    if any_ran:
         stored = spark.read.schema(_ROWS).parquet(folder)
     else:
         stored = spark.createDataFrame([], _ROWS)
@@ -130,13 +178,14 @@ def run_statements(
     counted = sizes.groupBy("text_id").agg(F.sum("_rows").alias("row_count"))
     if max_rows is not None:
         placed = placed.where(F.col("row_pos") < max_rows)
-    named = statements.join(text_ids, sql, "left")
+    named = null_safe_join(statements, text_ids, by, "left")
     joined = named.join(runs, "text_id", "left").join(counted, "text_id", "left")
     total = F.coalesce("row_count", F.lit(0))
     cap = total if max_rows is None else F.least(total, F.lit(max_rows))
     executions = joined.select(
         *statements.columns,
         "error",
+        "error_condition",
         F.coalesce("elapsed_s", F.lit(0.0)).alias("elapsed_s"),
         F.when(F.col("error").isNull() & F.col("text_id").isNotNull(), cap).alias("row_count"),
         (F.lit(False) if max_rows is None else F.coalesce(total > max_rows, F.lit(False))).alias("truncated"),

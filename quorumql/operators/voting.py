@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quorumql.functions.sqltext import exact_match
-from quorumql.operators.compare import fingerprints
+from quorumql.operators.compare import EMPTY_SQL_ERROR, fingerprints
 
 KEYS = ("index",)
 SAMPLE = "sample_index"
@@ -140,34 +140,31 @@ def prediction_records(
         F.when(F.col("error").isNull(), F.col("row_count")).alias("gold_row_count"),
     )
     costs = rollup.withColumnRenamed("total_latency_s", "self_consistency_total_generation_latency_s")
+    # A question without samples stays: it has no SQL, so it is not executable and matches nothing.
+    unanswered = F.col("self_consistency_selected_sample_index").isNull()
     return (
-        examples.join(chosen, on)
+        examples.join(chosen, on, "left")
         .join(golds, on, "left")
         .join(costs, on, "left")
         .join(matches, on, "left")
+        .withColumn("prediction_exec_error", F.when(unanswered, F.lit(EMPTY_SQL_ERROR)).otherwise(F.col("prediction_exec_error")))
+        .withColumn("executable", F.coalesce("executable", F.lit(False)))
         .withColumn("exec_match", F.coalesce("exec_match", F.lit(False)))
-        .withColumn("exact_match", exact_match(F.col("predicted_sql"), F.col("gold_sql")))
+        .withColumn("exact_match", F.coalesce(exact_match(F.col("predicted_sql"), F.col("gold_sql")), F.lit(False)))
+        .fillna(0, ["self_consistency_samples", *[c for c in costs.columns if c not in on]])
     )
 
 
-def nest_samples(details: DataFrame, max_samples: int, keys: Sequence[str] = KEYS) -> DataFrame:
+def nest_samples(details: DataFrame, most: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sample details as one array per question, for record files that want them nested.
 
-    Only questions with at most ``max_samples`` samples are nested (the run's own sample count is the natural
-    bound); the others stay available row by row in ``details``. ``overflow_samples`` returns exactly those.
+    ``most`` is the run's sample count, which bounds the arrays. A question with more samples is an error, not left out.
     """
-    small = _sample_counts(details, keys).where(F.col("_n") <= max_samples).select(*keys)
     fields = [SAMPLE, *[c for c in details.columns if c not in (*keys, SAMPLE)]]
-    return details.join(small, list(keys), "left_semi").groupBy(*keys).agg(
+    counts = details.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counts.agg(F.max("_n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a question has {largest} samples, more than the {most} of the run")
+    return details.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(*fields))).alias("self_consistency_sampled_predictions")
     )
-
-
-def overflow_samples(details: DataFrame, max_samples: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Sample details of the questions ``nest_samples`` left out."""
-    large = _sample_counts(details, keys).where(F.col("_n") > max_samples).select(*keys)
-    return details.join(large, list(keys), "left_semi")
-
-
-def _sample_counts(details: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return details.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))

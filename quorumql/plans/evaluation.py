@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quorumql.operators.answers import clean_answers
 from quorumql.operators.compare import execution_match, multiset_match, with_empty_sql_error
@@ -40,8 +40,10 @@ def evaluate(
 
     ``samples`` are generations with the outcome of running them (sql, generation_error, error, elapsed_s,
     row_count, ...), ``results`` their rows; ``gold`` and ``gold_results`` hold one execution per question, made
-    once whatever the number of samples.
+    once whatever the number of samples. Every question gets a record, answered or not; no questions are an error.
     """
+    if examples.isEmpty():
+        raise ValueError("no questions are selected")
     on = list(keys)
     keyed = vote_keys(samples, results, keys, ordered)
     # One small row per question, read by every branch below; written once so result rows are not hashed again.
@@ -55,13 +57,16 @@ def evaluate(
 
 
 def run_generations(
-    generations: DataFrame, keys: Sequence[str] = ("index",), timeout_s: float = DEADLINE_SECONDS, workers: int = 8
+    generations: DataFrame, keys: Sequence[str] = ("index",), timeout_s: float = DEADLINE_SECONDS, workers: int = 8,
+    database: str | None = None, sessions: Callable[[str], SparkSession] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Execute generated SQL: (samples with outcome, result rows). Empty SQL becomes an error record."""
     on = [*keys, "sample_index"]
-    executions, results = run_statements(generations.select(*on, "sql"), timeout_s=timeout_s, workers=workers)
-    outcome = executions.drop("sql", "columns")
-    return with_empty_sql_error(generations.join(outcome, on, "left")), results
+    where = [] if database is None else [database]
+    executions, results = run_statements(
+        generations.select(*on, *where, "sql"), timeout_s=timeout_s, workers=workers, database=database, sessions=sessions)
+    outcome = executions.drop("sql", "columns", *where)
+    return with_empty_sql_error(generations.join(outcome, on, "left")), results.drop(*where)
 
 
 def evaluate_answers(
@@ -71,16 +76,22 @@ def evaluate_answers(
     timeout_s: float = DEADLINE_SECONDS,
     workers: int = 8,
     keys: Sequence[str] = ("index",),
+    sessions: Callable[[str], SparkSession] | None = None,
 ) -> Evaluation:
-    """The whole way from raw answers: clean them, run them and the gold queries on the session's tables, evaluate.
+    """The whole way from raw answers: clean them, run them and the gold queries, evaluate.
 
-    ``answers`` are generations with raw_output; their ``sql`` is derived here.
+    ``answers`` are generations with raw_output; their ``sql`` is derived here. With ``sessions`` every question's
+    SQL runs in the session of its ``db_id``; without it all run on the session's tables.
     """
-    cleaned = clean_answers(answers.drop("sql")).drop("n_statements", "is_read_only", "answer_class")
+    database = None if sessions is None else "db_id"
+    where = [] if database is None else [database]
+    cleaned = clean_answers(answers.drop("sql", *where)).drop("n_statements", "is_read_only", "answer_class")
     failed = F.coalesce(F.col("generation_error"), F.lit("")) != ""
     generations = cleaned.withColumn("sql", F.when(failed, F.lit("")).otherwise(F.col("sql")))
-    samples, results = run_generations(generations, keys, timeout_s, workers)
+    if where:
+        generations = generations.join(examples.select(*keys, *where), list(keys))
+    samples, results = run_generations(generations, keys, timeout_s, workers, database, sessions)
     gold, gold_results = run_statements(
-        examples.select(*keys, F.col("gold_sql").alias("sql")), timeout_s=timeout_s, workers=workers
-    )
-    return evaluate(examples, samples, results, gold, gold_results, ordered, keys)
+        examples.select(*keys, *where, F.col("gold_sql").alias("sql")), timeout_s=timeout_s, workers=workers,
+        database=database, sessions=sessions)
+    return evaluate(examples, samples.drop(*where), results, gold.drop(*where), gold_results.drop(*where), ordered, keys)

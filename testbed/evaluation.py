@@ -56,13 +56,20 @@ records AS (
          s.generation_error, s.latency_s, r.query_tool_calls, r.prompt_tokens, r.completion_tokens, r.total_tokens,
          r.total_latency_s, r.num_generation_errors
   FROM votes v JOIN samples s ON s.idx = v.idx AND s.sample_index = v.selected_sample
-  JOIN gold g ON g.idx = v.idx JOIN rollup r ON r.idx = v.idx)"""
+  JOIN gold g ON g.idx = v.idx JOIN rollup r ON r.idx = v.idx
+  UNION ALL
+  SELECT -1 - c_custkey, 'db_' || c_custkey % 7, 'unanswered', NULL, NULL, NULL, NULL, NULL, 0, 'Empty SQL output', false, false,
+         false, NULL, NULL, 2, NULL, NULL, 0, 0, 0, 0, 0, 0
+  FROM customer)"""
 
 
 def _evaluation(spark, folder):
+    unanswered = inputs.unanswered(spark, folder)
+    gold = inputs.gold(spark, folder).unionByName(unanswered.select(
+        "index", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("elapsed_s"), F.lit(2).cast("bigint").alias("row_count")))
     return evaluate(
-        inputs.users(spark, folder), inputs.samples(spark, folder), inputs.sample_results(spark, folder),
-        inputs.gold(spark, folder), inputs.gold_results(spark, folder),
+        inputs.users(spark, folder).unionByName(unanswered), inputs.samples(spark, folder), inputs.sample_results(spark, folder),
+        gold, inputs.gold_results(spark, folder),
     )
 
 
@@ -97,8 +104,10 @@ def _match_unordered(spark, folder):
 
 @query("result_match_fingerprint", _match_sql("a, b"))
 def _match_fingerprint(spark, folder):
-    return compare.fingerprint_match(
-        inputs.order_results(spark, folder, "pred"), inputs.order_results(spark, folder, "gold"), samples=())
+    runs = inputs.order_runs(spark, folder)
+    matched = compare.fingerprint_match(
+        runs, inputs.order_results(spark, folder, "pred"), runs, inputs.order_results(spark, folder, "gold"), samples=())
+    return matched.withColumnRenamed("exec_match", "rows_match")
 
 
 @query("result_match_ordered", """WITH placed AS (
@@ -140,10 +149,14 @@ def _exec_match(spark, folder):
 
 
 @query("exec_match_all_samples", f"""WITH {SAMPLES_SQL}
-SELECT idx AS "index", sample_index, outcome = gold_outcome AND gold_error IS NULL AS rows_match
-FROM samples JOIN gold USING (idx) WHERE outcome NOT IN ('error', 'none')""")
+SELECT idx AS "index", sample_index, outcome = gold_outcome AND gold_error IS NULL AS exec_match FROM samples JOIN gold USING (idx)""")
 def _exec_match_all(spark, folder):
-    return compare.fingerprint_match(inputs.sample_results(spark, folder), inputs.gold_results(spark, folder))
+    return _all_samples(spark, folder)
+
+
+def _all_samples(spark, folder):
+    return compare.fingerprint_match(
+        inputs.samples(spark, folder), inputs.sample_results(spark, folder), inputs.gold(spark, folder), inputs.gold_results(spark, folder))
 
 
 @query("empty_sql_error", """SELECT event_id, CASE WHEN event_type = 'click' THEN coalesce(
@@ -249,8 +262,8 @@ _RATES = {
     "avg_completion_tokens_per_example": "avg(completion_tokens)",
     "avg_total_tokens_per_example": "avg(prompt_tokens + completion_tokens)",
     "invalid_sql_rate": "1 - avg(CAST(executable AS INT))",
-    "avg_self_consistency_vote_fraction": "avg(vote_fraction)", "avg_self_consistency_vote_size": "avg(vote_size)",
-    "avg_self_consistency_distinct_execution_results": "avg(distinct_results)",
+    "avg_self_consistency_vote_fraction": "avg(coalesce(vote_fraction, 0))", "avg_self_consistency_vote_size": "avg(coalesce(vote_size, 0))",
+    "avg_self_consistency_distinct_execution_results": "avg(coalesce(distinct_results, 0))",
 }
 _COUNTS = {
     "num_examples": "count(*)", "num_dbs": "count(DISTINCT db_id)",
@@ -322,14 +335,8 @@ winner AS (SELECT *, row_number() OVER (PARTITION BY k, idx ORDER BY n DESC, fir
 SELECT k, count(*) AS num_examples, round(avg(CAST(outcome = gold_outcome AND gold_error IS NULL AS INT)), 6) AS execution_accuracy
 FROM winner JOIN gold USING (idx) WHERE place = 1 GROUP BY k""")
 def _k_curve(spark, folder):
-    keyed = _keyed(spark, folder).select("index", "sample_index", "vote_key", "error")
-    matches = compare.fingerprint_match(inputs.sample_results(spark, folder), inputs.gold_results(spark, folder))
-    judged = keyed.join(matches, ["index", "sample_index"], "left").join(
-        inputs.gold(spark, folder).select("index", F.col("error").alias("gold_error"), "row_count"), "index")
-    # A sample without rows matches a gold result without rows.
-    both_empty = (F.col("row_count") == 0) & F.col("rows_match").isNull()
-    hit = F.col("error").isNull() & F.col("gold_error").isNull() & (F.coalesce("rows_match", F.lit(False)) | both_empty)
-    dense = with_group_position(judged.select("index", F.col("sample_index").alias("event"), "vote_key", hit.alias("exec_match")),
-                                ["index"], ["event"], "sample_index")
+    judged = _keyed(spark, folder).join(_all_samples(spark, folder), ["index", "sample_index"])
+    dense = with_group_position(
+        judged.select("index", F.col("sample_index").alias("event"), "vote_key", "exec_match"), ["index"], ["event"], "sample_index")
     curve = metrics.k_accuracy_curve(dense, [1, 2, 4, 8])
     return curve.withColumn("execution_accuracy", F.round("execution_accuracy", 6))

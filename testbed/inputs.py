@@ -92,6 +92,21 @@ def users(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def unanswered(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions without any sample, one per customer."""
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        (-1 - key).alias("index"), key.alias("question_id"), F.concat(F.lit("db_"), (key % 7).cast("string")).alias("db_id"),
+        F.concat(F.lit("q"), key.cast("string")).alias("question"),
+        F.lit("").alias("evidence"), F.lit("SELECT 1").alias("gold_sql"), F.lit("unanswered").alias("difficulty"),
+    )
+
+
+def order_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """One execution without error for each order of lineitem."""
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("index")).distinct().withColumn("error", F.lit(None).cast("string"))
+
+
 def gold(spark: SparkSession, folder: str) -> DataFrame:
     index = F.col("index")
     return users(spark, folder).select(

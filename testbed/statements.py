@@ -63,3 +63,32 @@ def _exec_match_pack(spark, folder):
     judged = compare.execution_match(variants, gold, matches, keys)
     return judged.join(variants, keys).join(gold.withColumnRenamed("row_count", "gold_rows").drop("error"), keys).select(
         *keys, F.col("error").isNull().alias("executable"), "exec_match", "gold_rows")
+
+
+_PARITY_PACK = (
+    "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS customers FROM orders GROUP BY o_orderstatus",
+    "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'",
+    "SELECT max(o_orderkey) FROM orders",
+)
+
+
+@query("run_sql_per_database", " UNION ALL ".join(
+    f"""SELECT 'db_{d}' AS db_id, {i} AS statement, count(*) AS row_count, CAST(sum(length(v)) AS BIGINT) AS text_length
+    FROM (WITH orders AS (SELECT * FROM main.orders WHERE o_orderkey % 2 = {p})
+          SELECT {cells} AS v FROM ({sql}) q)"""
+    for d, p in (("a", 0), ("b", 1)) for i, (sql, cells) in enumerate(zip(_PARITY_PACK, (
+        "o_orderstatus || n || customers", "CAST(o_orderkey AS VARCHAR) || o_custkey", "CAST(\"max(o_orderkey)\" AS VARCHAR)")))))
+def _run_sql_per_database(spark, folder):
+    """The same texts over two databases whose table of one name holds different rows."""
+    def session(name):
+        own = spark.newSession()
+        parity = {"db_a": 0, "db_b": 1}[name]
+        own.read.parquet(f"{folder}/orders.parquet").where(F.col("o_orderkey") % 2 == parity).createOrReplaceTempView("orders")
+        return own
+
+    rows = [(db, i, sql) for db in ("db_a", "db_b") for i, sql in enumerate(_PARITY_PACK)]
+    statements = spark.createDataFrame(rows, "db_id string, statement int, sql string")
+    _, results = run_statements(statements, timeout_s=600, database="db_id", sessions=session)
+    values = F.concat_ws("", F.transform("cells", lambda c: F.substring(c, 3, 1000)))
+    return results.groupBy("db_id", "statement").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.length(values)).alias("text_length"))

@@ -46,7 +46,8 @@ def test_result_match_cases(spark, ordered):
     for left, right in ((predicted, gold), (gold, predicted)):
         exact = {r["index"]: r.rows_match for r in compare.multiset_match(left, right, ordered=ordered).collect()}
         assert [exact[i] for i in range(len(CASES))] == expected
-        prints = {r["index"]: r.rows_match for r in compare.fingerprint_match(left, right, samples=(), ordered=ordered).collect()}
+        runs = spark.range(len(CASES)).selectExpr("id AS index", "CAST(NULL AS STRING) AS error")
+        prints = {r["index"]: r.exec_match for r in compare.fingerprint_match(runs, left, runs, right, samples=(), ordered=ordered).collect()}
         assert [prints[i] for i in range(len(CASES))] == expected
     assert all(r.rows_match for r in compare.multiset_match(gold, gold, ordered=ordered).collect())
 
@@ -99,13 +100,24 @@ def test_vote_keys(spark):
     assert voting.audit_vote_keys(merged, results).count() > 0
 
 
-def test_nested_samples_and_overflow(spark):
+def test_nested_samples(spark):
     rows = keyed(spark, {0: "AB", 1: "AAAAA"})
     details = voting.sample_details(rows, voting.majority_vote(rows))
-    nested = voting.nest_samples(details, 3).collect()
-    assert [r["index"] for r in nested] == [0]
-    assert [s.sample_index for s in nested[0].self_consistency_sampled_predictions] == [0, 1]
-    assert voting.overflow_samples(details, 3).count() == 5
+    nested = {r["index"]: [s.sample_index for s in r.self_consistency_sampled_predictions] for r in voting.nest_samples(details, 5).collect()}
+    assert nested == {0: [0, 1], 1: [0, 1, 2, 3, 4]}
+    with pytest.raises(ValueError, match="5 samples"):
+        voting.nest_samples(details, 3)
+
+
+def test_fingerprint_match_has_every_sample(spark):
+    runs = "index long, sample_index int, error string"
+    predicted = spark.createDataFrame([(0, 0, None), (0, 1, "e"), (1, 0, None), (1, 1, None), (2, 0, None), (3, 0, None)], runs)
+    rows = spark.createDataFrame([(1, 1, 0, ["d:1"]), (2, 0, 0, ["d:1"])], "index long, sample_index int, row_pos long, cells array<string>")
+    gold = spark.createDataFrame([(0, None), (1, None), (2, "e")], "index long, error string")
+    gold_rows = spark.createDataFrame([(1, 0, ["d:1"])], ROWS)
+    found = {(r["index"], r.sample_index): r.exec_match for r in compare.fingerprint_match(predicted, rows, gold, gold_rows).collect()}
+    # Empty against empty matches; an error, rows against none, a failed gold query and a missing one do not.
+    assert found == {(0, 0): True, (0, 1): False, (1, 0): False, (1, 1): True, (2, 0): False, (3, 0): False}
 
 
 def test_empty_sql_error(spark):
@@ -155,8 +167,42 @@ def test_gold_oracle_scores_full_marks(spark):
     assert summary.execution_accuracy == summary.exact_match_accuracy == summary.executable_rate == 1.0
 
 
-def test_run_summary_of_nothing_is_empty(spark):
-    spark.range(5).createOrReplaceTempView("five")
+def test_no_question_is_lost(spark):
+    examples = spark.createDataFrame(
+        [(0, "d", "x", "SELECT 1"), (1, "d", "x", "SELECT 2")], "index long, db_id string, difficulty string, gold_sql string")
+    one = gold_oracle(examples, 1).where("index = 0")
+    done = evaluate_answers(examples, one)
+    records = {r["index"]: r for r in done.predictions.collect()}
+    assert records[0].exec_match and not records[1].exec_match and not records[1].executable and not records[1].exact_match
+    assert records[1].prediction_exec_error == "Empty SQL output" and records[1].gold_row_count == 1
+    summary = done.summary().collect()[0]
+    assert (summary.num_examples, summary.execution_accuracy) == (2, 0.5)
+
+
+def test_no_selected_question_is_an_error(spark):
+    examples = spark.createDataFrame([], "index long, db_id string, difficulty string, gold_sql string")
+    with pytest.raises(ValueError, match="no questions"):
+        evaluate_answers(examples, gold_oracle(examples))
+
+
+def test_questions_run_on_their_own_database(spark):
+    def session(name):
+        own = spark.newSession()
+        own.range({"small": 3, "large": 30}[name]).createOrReplaceTempView("t")
+        return own
+
+    examples = spark.createDataFrame(
+        [(0, "small", "x", "SELECT count(*) FROM t"), (1, "large", "x", "SELECT count(*) FROM t")],
+        "index long, db_id string, difficulty string, gold_sql string")
+    answers = spark.createDataFrame(
+        [(q, 0, "SELECT 3", None, 1.0, 0, 0, None, None) for q in (0, 1)],
+        "index long, sample_index int, raw_output string, generation_error string, latency_s double, query_tool_calls int, "
+        "prompt_tokens long, completion_tokens long, total_tokens long")
+    done = evaluate_answers(examples, answers, sessions=session)
+    assert {r["index"]: r.exec_match for r in done.predictions.collect()} == {0: True, 1: False}
+
+
+def test_run_summary_of_no_records_has_no_row(spark):
     examples = spark.createDataFrame([(0, "d", "x", "SELECT 1")], "index long, db_id string, difficulty string, gold_sql string")
     done = evaluate_answers(examples, gold_oracle(examples))
     assert metrics.run_summary(done.predictions.where("false")).count() == 0

@@ -1,8 +1,10 @@
+import os
 import sqlite3
 
+import pytest
 from pyspark.sql import functions as F
 
-from quorumql.session import freeze, shared_folder
+from quorumql.session import freeze, new_folder, scratch, shared_folder
 from quorumql.sources.sqlite import ingest_sqlite, list_tables, read_sqlite
 from quorumql.streaming.progress import read_progress, stream_progress
 
@@ -60,3 +62,35 @@ def test_stream_progress_over_arriving_files(spark, tmp_path):
     second = {r.run_id: (r.completed, r.exec_matches) for r in read_progress(spark, out).collect()}
     expected = flags(0, 160).where("run_id = 1").agg(F.count("*"), F.count_if("exec_match")).collect()[0]
     assert second[1] == tuple(expected) and second[0][0] == 34
+
+
+class _Cluster:
+    """A session as a cluster's would look: no local master, no shared folder set."""
+
+    class conf:  # noqa: N801
+        @staticmethod
+        def get(key, default=None):
+            return default
+
+    class sparkContext:  # noqa: N801
+        master = "spark://host:7077"
+
+        @staticmethod
+        def getCheckpointDir():
+            return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(_Cluster)
+
+
+def test_scratch_removes_its_folders_alone(spark):
+    kept = freeze(spark.range(3))
+    with scratch(spark):
+        inner = freeze(spark.range(4))
+        gone = inner.inputFiles()[0].split(":", 1)[1]
+        assert inner.count() == 4
+        assert new_folder(spark, "x").startswith(shared_folder(spark))
+    assert kept.count() == 3
+    assert not os.path.exists(gone.replace("//", "/"))

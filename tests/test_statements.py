@@ -47,3 +47,25 @@ def test_deadline(spark):
     found = {r.name: r for r in executions.collect()}
     assert "deadline" in found["slow"].error and found["slow"].elapsed_s < 30
     assert found["fast"].error is None
+
+
+def test_errors_differ_and_text_is_not_spliced(spark):
+    texts = [("a", "SELECT aaa FROM range(1)"), ("b", "SELECT zzz FROM range(1)"), ("c", "SELECT 1) x, (SELECT 2"), ("d", "SELECT 1 /* open"),
+             ("e", "SELECT * FROM no_table_a"), ("f", "SELECT * FROM no_table_b"), ("g", "SELECT aaa FROM range(1)")]
+    executions, results = run_statements(spark.createDataFrame(texts, "name string, sql string"))
+    found = {r.name: r for r in executions.collect()}
+    assert all(r.error for r in found.values()) and results.count() == 0
+    assert len({r.error for r in found.values()}) == 6 and found["a"].error == found["g"].error and "aaa" in found["a"].error
+    assert found["a"].error_condition == found["b"].error_condition == "UNRESOLVED_COLUMN.WITH_SUGGESTION"
+
+
+def test_equal_texts_of_two_databases(spark):
+    def session(name):
+        own = spark.newSession()
+        own.sql(f"SELECT '{name}' AS owner").createOrReplaceTempView("t")
+        return own
+
+    rows = [(db, copy, "SELECT owner FROM t") for db in ("x", "y") for copy in (0, 1)]
+    statements = spark.createDataFrame(rows, "db_id string, copy int, sql string")
+    _, results = run_statements(statements, database="db_id", sessions=session)
+    assert sorted((r.db_id, r.copy, r.cells[0]) for r in results.collect()) == [(db, c, f"s:{db}") for db in ("x", "y") for c in (0, 1)]
