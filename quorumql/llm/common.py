@@ -107,7 +107,7 @@ def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), lengths)
-    owners, found = [], []
+    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step = np.uint64(0x9E3779B97F4A7C15)
 
     def bucket(x: np.ndarray) -> np.ndarray:

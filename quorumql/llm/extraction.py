@@ -2,8 +2,9 @@
 
 Every node, element or text, is content or not. A node's own potential is a weighted sum of its features (element name,
 words of its class, id and role, share of linked text, length of its text; plain blocks, inline elements and texts have names alone); parent and child are tied by a table of
-potentials, one each for texts, inline elements, plain blocks and containers as children. Elements around the article
-count as content too. The tree has no loops, so one pass of sum-product messages
+potentials, one each for texts, inline elements, plain blocks and containers as children. The tables' rows are
+normalised, so a child without features of its own tells nothing about its parent, however many there are. Elements
+around the article count as content too. The tree has no loops, so one pass of sum-product messages
 upward and one downward give exact marginals. Texts whose marginal probability of being content reaches one half are
 kept. Weights maximise the likelihood of labelled pages: the slope is observed minus expected features, and the
 expectations come from the same message passing. Labelled pages are made by ``labelled_pages`` from the layouts listed
@@ -49,8 +50,9 @@ class Forest:
 
 
 def name_features(names: str) -> list[int]:
-    words = NAME_WORDS.findall(CAMEL.sub(" ", names).lower())
-    return [TAGS + zlib.crc32(word.encode()) % NAMES for word in words]
+    """The words of the names, and each name as a whole."""
+    words = NAME_WORDS.findall(CAMEL.sub(" ", names).lower()) + [f"={name}" for name in names.lower().split()]
+    return [TAGS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % NAMES for word in dict.fromkeys(words)]
 
 
 def forest(pages: list[Page]) -> Forest:
@@ -121,20 +123,24 @@ def fit(pages: list[Page], labels: list[list[bool]], rounds: int = 300, rate: fl
     trees = forest(pages)
     y = np.array([flag for page in labels for flag in page], dtype=np.int64)
     below = np.flatnonzero(trees.parent >= 0)
-    model = TreeModel(np.zeros(SIZE), np.zeros((4, 2, 2)))
+    model = TreeModel(np.zeros(SIZE), np.full((4, 2, 2), -np.log(2)))
     seen = np.zeros((4, 2, 2))
     np.add.at(seen, (trees.tie[below], y[trees.parent[below]], y[below]), 1)
-    values, moments = (model.weights, model.ties), [[np.zeros_like(v), np.zeros_like(v)] for v in (model.weights, model.ties)]
+    raw = np.zeros((4, 2, 2))
+    values, moments = (model.weights, raw), [[np.zeros_like(v), np.zeros_like(v)] for v in (model.weights, model.ties)]
     for step in range(1, rounds + 1):
         odds, joint = model.marginals(trees)
         miss = y - 0.5 * (1 + np.tanh(odds / 2))
         expected = np.zeros((4, 2, 2))
         np.add.at(expected, trees.tie[below], joint[below])
-        slopes = (np.bincount(trees.feature, miss[trees.node], SIZE) / len(pages) - prior * model.weights, (seen - expected) / len(pages) - prior * model.ties)
+        pull = (seen - expected) / len(pages)
+        pull -= np.exp(model.ties) * pull.sum(axis=2, keepdims=True)
+        slopes = (np.bincount(trees.feature, miss[trees.node], SIZE) / len(pages) - prior * model.weights, pull - prior * raw)
         for value, (m, v), slope in zip(values, moments, slopes):
             m += 0.1 * (slope - m)
             v += 0.001 * (slope * slope - v)
             value += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        model.ties[:] = raw - np.logaddexp(raw[:, :, :1], raw[:, :, 1:])
     return model
 
 
