@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-_EXACT_LONG = 9.0e18  # doubles below this in size convert to BIGINT without loss
-_EXACT_FRACTION = 9007199254740992.0  # 2**53: doubles from here on have no fraction
+_EXACT_LONG = 9.0e18  # whole doubles below this in size convert to BIGINT without loss
+_EXACT_DECIMAL = 1.0e38  # whole doubles below this in size fit DECIMAL(38)
 
 
 def _plain_decimal(value: Column, precision: int) -> Column:
@@ -26,9 +26,12 @@ def cell(value: Column, dtype: T.DataType, precision: int = 6) -> Column:
     if isinstance(dtype, T.FractionalType) and not isinstance(dtype, T.DecimalType):
         number = value.cast("double")
         size = F.abs(number)
+        # Most numbers take one of the first two ways; a double with a fraction is far below the decimal's bound.
+        whole = number == F.rint(number)
         text = (
-            F.when(size < _EXACT_FRACTION, _plain_decimal(number, precision))
-            .when(size < _EXACT_LONG, number.cast("bigint").cast("string"))
+            F.when(whole & (size < _EXACT_LONG), number.cast("bigint").cast("string"))
+            .when(~whole & (size < _EXACT_LONG), _plain_decimal(number, precision))
+            .when(size < _EXACT_DECIMAL, number.cast("decimal(38,0)").cast("string"))
             .otherwise(number.cast("string"))
         )
         return F.concat(F.lit("d:"), text)
@@ -52,6 +55,24 @@ def canonical_cells(df: DataFrame, columns: list[str] | None = None, precision:
     return F.array(*[cell(F.col(f"`{n.replace('`', '``')}`"), df.schema[n].dataType, precision) for n in names])
 
 
+def shown_cells(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Array of tagged cells with values as they are, for display: ``j:`` and JSON text of a number or boolean, else
+    ``s:`` and text. Numbers that JSON lacks (NaN, infinities) are text."""
+    names = df.columns if columns is None else columns
+    if not names:
+        return F.array().cast("array<string>")
+    return F.array(*[_shown(F.col(f"`{n.replace('`', '``')}`"), df.schema[n].dataType) for n in names])
+
+
+def _shown(value: Column, dtype: T.DataType) -> Column:
+    text = value.cast("string")
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.concat(F.when(F.isnan(value) | (F.abs(value) == float("inf")), F.lit("s:")).otherwise(F.lit("j:")), text)
+    if isinstance(dtype, (T.BooleanType, T.NumericType)):
+        return F.concat(F.lit("j:"), text)
+    return cell(value, dtype)
+
+
 def row_hashes(cells: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of one row; JSON keeps null cells in place, which hashing the array would not."""
     text = F.to_json(cells)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quorumql.functions.render import json_text
-from quorumql.functions.sqltext import is_read_only
+from quorumql.functions.sqltext import extract_fence, first_statement, is_read_only, split_statements, strip_think
 from quorumql.functions.text import clip
 
 # Payload texts and the least each limit can be set to.
@@ -40,11 +40,14 @@ def clip_cell(value: Column, max_cell_chars: int = 200) -> Column:
 
 
 def cell_json(cell: Column, max_cell_chars: int = 200) -> Column:
-    """JSON form of a canonical cell: null and numbers as they are, text clipped and quoted."""
+    """JSON form of a tagged cell: null, numbers and booleans as they are, text clipped and quoted.
+
+    ``shown_cells`` gives cells with values untouched; canonical cells, made for comparing, are taken as well.
+    """
     body = F.substring(cell, F.lit(3), F.length(cell))
     return (
         F.when(cell.isNull(), F.lit("null"))
-        .when(cell.startswith("d:"), body)
+        .when(cell.startswith("d:") | cell.startswith("j:"), body)
         .otherwise(json_text(clip_cell(body, max_cell_chars)))
     )
 
@@ -68,9 +71,15 @@ def _bool(value: Column) -> Column:
 
 
 def preview_status(queries: DataFrame) -> DataFrame:
-    """Add ``status``: ``missing``, ``not_read_only``, ``error`` or ``ok``, in the order they are checked."""
-    text = F.coalesce(F.col("sql"), F.lit(""))
-    return queries.withColumn(
+    """Add ``status``: ``missing``, ``not_read_only``, ``error`` or ``ok``, in the order they are checked.
+
+    The statement is taken out of ``sql`` first (thoughts, code fence, further statements), and ``sql`` becomes it.
+    """
+    body = extract_fence(strip_think(F.coalesce(F.col("sql"), F.lit(""))))
+    taken = queries.withColumn("_body", body).withColumn("_statements", split_statements(F.col("_body")))
+    taken = taken.withColumn("sql", first_statement(F.col("_statements"), F.col("_body"))).drop("_body", "_statements")
+    text = F.col("sql")
+    return taken.withColumn(
         "status",
         F.when(text == "", F.lit("missing"))
         .when(~is_read_only(text), F.lit("not_read_only"))
@@ -89,7 +98,8 @@ def previews(
 ) -> DataFrame:
     """JSON payload of at most ``max_output_chars`` characters per query.
 
-    ``queries`` holds the keys, sql, error and ``columns`` (array of names). Rows are dropped from the end until
+    ``queries`` holds the keys, sql, error and ``columns`` (array of names); rows are shown from the column ``shown``
+    of ``results`` if there is one, or else from their canonical cells. Rows are dropped from the end until
     the payload fits, then the row list itself, then all but the flags. At most ``max_rows`` rows per query are
     gathered; everything beyond is only counted.
     """
@@ -98,7 +108,7 @@ def previews(
     on = list(keys)
     texts = (
         preview_rows(results, limit, keys)
-        .select(*on, "row_pos", row_json(F.col("cells"), max_cell_chars).alias("row_text"))
+        .select(*on, "row_pos", row_json(F.col("shown" if "shown" in results.columns else "cells"), max_cell_chars).alias("row_text"))
         .groupBy(*on)
         .agg(F.array_sort(F.collect_list(F.struct("row_pos", "row_text")))["row_text"].alias("_rows"))
     )
@@ -124,17 +134,23 @@ def previews(
         )
 
     mark = _member("output_truncated", "true")
-    # Length of the shortened payload for every number of rows kept, from the lengths of the single rows.
-    bare = joined.withColumn("_bare", F.length(payload(F.array().cast("array<string>"), F.lit(""), mark)))
-    grown = bare.withColumn(
-        "_sizes",
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0))),
-            lambda m: F.col("_bare") + F.length(m.cast("string")) + F.greatest(m - 1, F.lit(0)) * 2
-            + F.aggregate(F.slice("_rows", F.lit(1), m), F.lit(0), lambda total, row: total + F.length(row)),
-        ),
-    )
-    kept = F.array_max(F.transform("_sizes", lambda size, m: F.when(size <= budget, m)))
+    # One pass over the rows carries the length so far and the most rows whose shortened payload fits.
+    grown = joined.withColumn("_bare", F.length(payload(F.array().cast("array<string>"), F.lit(""), mark)))
+
+    def fitting(length: Column, rows: Column, best: Column) -> Column:
+        return F.when(F.col("_bare") + F.length(rows.cast("string")) + length <= budget, rows).otherwise(best)
+
+    start = F.struct(F.lit(0).alias("length"), F.lit(0).alias("rows"),
+                     fitting(F.lit(0), F.lit(0), F.lit(None).cast("int")).cast("int").alias("best"))
+
+    def add(state: Column, row: Column) -> Column:
+        length = (state["length"] + F.length(row) + F.when(state["rows"] > 0, 2).otherwise(0)).cast("int")
+        rows = (state["rows"] + 1).cast("int")
+        # The last row is never part of a shortened payload.
+        best = F.when(rows < F.col("_n"), fitting(length, rows, state["best"])).otherwise(state["best"])
+        return F.struct(length.alias("length"), rows.alias("rows"), best.cast("int").alias("best"))
+
+    kept = F.aggregate("_rows", start, add, lambda state: state["best"])
     shaped = (
         grown.withColumn("_kept", F.when(F.col("_n") > 0, kept))
         .withColumn("_full", payload(F.col("_rows"), F.col("_n")))

@@ -39,7 +39,7 @@ def slice_rows(
 def slice_strict(df: DataFrame, offset: int, limit: int, order: Sequence[str] = ("index",)) -> DataFrame:
     """Like ``slice_rows``, but a negative offset is an error and a limit of 0 or below means no limit."""
     if offset < 0:
-        raise ValueError("offset must be non-negative")
+        raise ValueError("an offset cannot lie before the first row")
     return slice_rows(df, offset, limit if limit > 0 else None, order)
 
 
@@ -80,7 +80,7 @@ def train_eval_split(
     such rows then appear in both. A limit of 0 or below means all; seed None keeps key order.
     """
     if train_offset < 0 or (eval_offset is not None and eval_offset < 0):
-        raise ValueError("offset must be non-negative")
+        raise ValueError("an offset cannot lie before the first row")
     if seed is None:
         placed = with_position(examples, [key], "_place", key=[key])
     else:
@@ -116,7 +116,7 @@ def require_train_rows(split: DataFrame) -> DataFrame:
 def assign_batches(df: DataFrame, groups_per_batch: int, position: str = "position") -> DataFrame:
     """Consecutive runs of ``groups_per_batch`` positions form a batch; the last one may be short."""
     if groups_per_batch <= 0:
-        raise ValueError("groups_per_batch must be positive")
+        raise ValueError("a batch needs one group at least")
     place = F.col(position)
     return df.withColumn("batch_index", F.floor(place / groups_per_batch)).withColumn(
         "group_index", place % groups_per_batch
@@ -134,7 +134,7 @@ def batch(df: DataFrame, batch_index: int, groups_per_batch: int, position: str
 def count_batches(df: DataFrame, groups_per_batch: int, by: Sequence[str] = ()) -> DataFrame:
     """Number of rows and of batches, per ``by`` group."""
     if groups_per_batch <= 0:
-        raise ValueError("groups_per_batch must be positive")
+        raise ValueError("a batch needs one group at least")
     return df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("num_groups"),
         F.ceil(F.count(F.lit(1)) / groups_per_batch).alias("num_batches"),
@@ -144,7 +144,7 @@ def count_batches(df: DataFrame, groups_per_batch: int, by: Sequence[str] = ())
 def replicate(df: DataFrame, group_size: int) -> DataFrame:
     """Repeat each row ``group_size`` times with ``rollout_index`` 0..group_size-1."""
     if group_size <= 0:
-        raise ValueError("group_size must be positive")
+        raise ValueError("a group needs one rollout at least")
     return df.withColumn("rollout_index", F.explode(F.sequence(F.lit(0), F.lit(group_size - 1))))
 
 

@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from quorumql.functions.cells import canonical_cells
+from quorumql.functions.cells import canonical_cells, shown_cells
 from quorumql.operators.positions import null_safe_join
 from quorumql.session import freeze, new_folder
 
 DEADLINE_SECONDS = 20.0
 _INTERRUPT_SECONDS = 0.5
-_ROWS = "text_id bigint, row_id bigint, cells array<string>"
+_ROWS = "text_id bigint, row_id bigint, cells array<string>, shown array<string>"
 _RUNS = "text_id bigint, error string, error_condition string, elapsed_s double, columns array<string>"
 _PARTITION_BITS = 33
 #: Finished runs that the driver holds before it writes them to the shared folder.
@@ -55,7 +55,8 @@ def describe_error(error: Exception) -> tuple[str, str | None]:
 
 
 def _run_one(
-    spark: SparkSession, text_id: int, sql: str, folder: str, timeout_s: float, max_rows: int | None, precision: int
+    spark: SparkSession, text_id: int, sql: str, folder: str, timeout_s: float, max_rows: int | None, precision: int,
+    shown: bool,
 ) -> _Run:
     started = time.perf_counter()
     tag = f"statement-{uuid.uuid4().hex}"
@@ -77,14 +78,15 @@ def _run_one(
     watcher.start()
     try:
         if max_rows is not None and max_rows < 0:
-            raise ValueError("max_rows must be non-negative when provided")
+            raise ValueError("a row cap below zero (non-negative is needed)")
         df = as_query(spark, sql)
         columns = df.columns
         if max_rows is not None:
             df = df.limit(max_rows + 1)
         plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
         plain.select(
-            F.monotonically_increasing_id().alias("row_id"), canonical_cells(plain, precision=precision).alias("cells")
+            F.monotonically_increasing_id().alias("row_id"), canonical_cells(plain, precision=precision).alias("cells"),
+            *([shown_cells(plain).alias("shown")] if shown else []),
         ).write.parquet(f"{folder}/text_id={text_id}")
     except Exception as problem:  # noqa: BLE001 - every failure becomes a record
         (error, condition), columns = describe_error(problem), []
@@ -107,6 +109,7 @@ def run_statements(
     sql: str = "sql",
     database: str | None = None,
     sessions: Callable[[str], SparkSession] | None = None,
+    shown: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Run every statement of a table and return (executions, result rows).
 
@@ -116,7 +119,7 @@ def run_statements(
     executors; texts are numbered in a stored table and come to the driver a few at a time, and what became of them
     is written in turn. Executions repeat the input columns plus error (the whole message), error_condition,
     elapsed_s, row_count, truncated and columns. Result rows carry the input columns (without the text), ``row_pos``
-    and ``cells``; positions follow the statement's own ORDER BY. At the deadline the statement's jobs are cancelled;
+    and ``cells``, and with ``shown`` the values untouched for display; positions follow the statement's own ORDER BY. At the deadline the statement's jobs are cancelled;
     a task stuck in one long computation ends with ``spark.task.reaper.enabled``.
     """
     if (database is None) != (sessions is None):
@@ -141,7 +144,7 @@ def run_statements(
             if len(running) >= max(1, workers):
                 done, running = wait(running, return_when=FIRST_COMPLETED)
                 yield from (d.result() for d in done)
-            running.add(pool.submit(_run_one, own, row["text_id"], row[sql], folder, timeout_s, max_rows, precision))
+            running.add(pool.submit(_run_one, own, row["text_id"], row[sql], folder, timeout_s, max_rows, precision, shown))
         yield from (r.result() for r in running)
 
     held: list[tuple] = []
@@ -173,7 +176,7 @@ def run_statements(
     before = Window.partitionBy("text_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("text_id", "_segment", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     placed = rows.join(starts, ["text_id", "_segment"]).select(
-        "text_id", (F.col("_start") + F.col("_offset")).alias("row_pos"), "cells"
+        "text_id", (F.col("_start") + F.col("_offset")).alias("row_pos"), "cells", *(["shown"] if shown else [])
     )
     counted = sizes.groupBy("text_id").agg(F.sum("_rows").alias("row_count"))
     if max_rows is not None:
@@ -192,5 +195,5 @@ def run_statements(
         "columns",
     )
     keys = [c for c in statements.columns if c != sql]
-    results = named.join(placed, "text_id").select(*keys, "row_pos", "cells")
+    results = named.join(placed, "text_id").select(*keys, "row_pos", "cells", *(["shown"] if shown else []))
     return executions, results

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 TEXT_FIELDS = {"question_id": "-1", "evidence": "", "difficulty": "unknown"}
 REQUIRED_FIELDS = ("db_id", "question", "SQL")
 _RAW = "question_id string, db_id string, question string, evidence string, SQL string, difficulty string"
+_RAW_FIELDS = ", ".join(":".join(field.split()) for field in _RAW.split(", "))
 
 
 def _required(name: str) -> Column:
@@ -29,15 +30,17 @@ def _examples(raw: DataFrame, index: Column) -> DataFrame:
 def read_examples(spark: SparkSession, path: str, fmt: str = "json_array") -> DataFrame:
     """Question records with their ``index``.
 
-    ``json_array`` is one file holding one JSON array; the index is the place in it. The reader streams the array,
-    but a single file is a single task, so large sets should come as ``jsonl`` or ``parquet`` with an ``index``
-    field, which split freely. Missing optional fields get their defaults; a missing required one is an error, as
-    is a missing file.
+    ``json_array`` is one file holding one JSON array; the index is the place in it. One array is parsed by one task,
+    so large sets should come as ``jsonl`` or ``parquet`` with an ``index`` field, which split freely. Missing
+    optional fields get their defaults; a missing required one is an error, as are a missing file and several files.
     """
     if fmt == "json_array":
-        raw = spark.read.schema(_RAW).option("multiLine", True).option("mode", "FAILFAST").json(path)
-        # One unsplittable file is one partition, so the id counts its records from 0 in file order.
-        return _examples(raw, F.monotonically_increasing_id())
+        files = spark.read.text(path, wholetext=True)
+        if len(files.inputFiles()) != 1:
+            raise ValueError(f"one file with a JSON array is expected at {path}")
+        parsed = F.from_json("value", f"array<struct<{_RAW_FIELDS}>>", {"mode": "FAILFAST"})
+        raw = files.select(F.posexplode(parsed).alias("_place", "_record")).select("_place", "_record.*")
+        return _examples(raw, F.col("_place"))
     if fmt == "jsonl":
         return _examples(spark.read.schema(f"index bigint, {_RAW}").option("mode", "FAILFAST").json(path), F.col("index"))
     if fmt == "parquet":

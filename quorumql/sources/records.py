@@ -38,27 +38,41 @@ def write_summary(summary: DataFrame, path: str, run: str | None = "run_id") ->
 
 
 def write_sweep(df: DataFrame, path: str, fmt: str = "csv", columns: Sequence[str] = METRIC_COLUMNS) -> None:
-    """Sweep metrics as CSV in a fixed column order (missing values empty), or as JSON lines."""
+    """Sweep metrics as CSV in a fixed column order (missing values empty), as one JSON array, or as JSON lines.
+
+    An array is one record of one file, so one task writes it; a sweep has a row for each arm. Lines have no such bound.
+    """
     if fmt == "csv":
         have = set(df.columns)
         picked = [F.col(c) if c in have else F.lit(None).cast("string").alias(c) for c in columns]
         df.select(*picked).write.mode("error").option("header", True).csv(path)
-    elif fmt in ("json", "jsonl"):
+    elif fmt == "jsonl":
         df.write.mode("error").options(**_KEEP_NULLS).json(path)
+    elif fmt == "json":
+        whole = df.agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
+        whole.select(F.to_json("rows", _KEEP_NULLS).alias("value")).coalesce(1).write.mode("error").text(path)
     else:
         raise ValueError(f"unknown sweep format {fmt!r}")
 
 
 def read_sweep(
-    spark: SparkSession, csv_path: str | None = None, json_path: str | None = None, columns: Sequence[str] = METRIC_COLUMNS
+    spark: SparkSession, csv_path: str | None = None, json_path: str | None = None, columns: Sequence[str] = METRIC_COLUMNS,
+    jsonl_path: str | None = None,
 ) -> DataFrame:
-    """Raw sweep metrics as text columns, CSV preferred; ``coerce_metrics`` makes numbers of them."""
-    schema = ", ".join(f"{c} string" for c in columns)
+    """Raw sweep metrics as text columns, CSV preferred; ``coerce_metrics`` makes numbers of them.
+
+    CSV columns are taken by the names in the header, whatever their order; a column that is not there is null.
+    """
     if csv_path is not None:
-        return spark.read.schema(schema).option("header", True).csv(csv_path)
+        found = spark.read.option("header", True).option("inferSchema", False).csv(csv_path)
+        have = set(found.columns)
+        return found.select(*[F.col(f"`{c}`") if c in have else F.lit(None).cast("string").alias(c) for c in columns])
+    schema = ", ".join(f"{c} string" for c in columns)
+    if jsonl_path is not None:
+        return spark.read.schema(schema).json(jsonl_path)
     if json_path is not None:
         return spark.read.schema(schema).option("multiLine", True).json(json_path)
-    raise ValueError("no metrics file given; expected csv_path or json_path")
+    raise ValueError("no metrics file given; expected csv_path, json_path or jsonl_path")
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -29,6 +29,18 @@ def _read_examples(spark, folder):
     return read_examples(spark, path, "jsonl")
 
 
+@query("read_examples_array", """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS "index", o_orderkey AS question_id,
+'db_' || o_custkey % 11 AS db_id, o_orderpriority AS question, 'SELECT ' || o_orderkey AS gold_sql, 'unknown' AS difficulty FROM orders""")
+def _read_examples_array(spark, folder):
+    # One file with one array: what a task can hold is the format's own bound.
+    path = new_folder(spark, "examples-array")
+    raw = inputs.examples(spark, folder).select(
+        F.col("index").alias("question_id"), "db_id", "question", "evidence", F.col("gold_sql").alias("SQL"))
+    records = raw.agg(F.array_sort(F.collect_list(F.struct(*raw.columns))).alias("all"))
+    records.select(F.to_json("all").alias("value")).coalesce(1).write.text(path)
+    return read_examples(spark, path, "json_array").select("index", "question_id", "db_id", "question", "gold_sql", "difficulty")
+
+
 @query("filter_by_db", f"WITH {EXAMPLES_SQL} SELECT \"index\", db_id FROM examples WHERE db_id = 'db_4'")
 def _filter_by_db(spark, folder):
     return selection.filter_by_db(inputs.examples(spark, folder), "db_4").select("index", "db_id")
@@ -129,7 +141,7 @@ def _gold_oracle(spark, folder):
 @query("stored_generations", f"""WITH {EXAMPLES_SQL},
 stored AS (
   SELECT l_orderkey AS idx, l_linenumber - 1 AS s, max(l_suppkey) AS n, max(l_quantity) AS q
-  FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2)
+  FROM lineitem GROUP BY 1, 2)
 SELECT "index", CAST(r AS INTEGER) AS sample_index,
        CASE WHEN n IS NULL OR n % 5 = 0 THEN '' ELSE 'SELECT ' || n END AS sql,
        CASE WHEN n IS NULL THEN 'no generation was stored for this sample' WHEN n % 5 = 0 THEN 'failed' END AS generation_error,
@@ -138,7 +150,7 @@ FROM examples CROSS JOIN range(3) t(r) LEFT JOIN stored ON idx = "index" AND s =
 def _stored_generations(spark, folder):
     n = F.col("n")
     stored = (
-        inputs.table(spark, folder, "lineitem").where("l_linenumber <= 3")
+        inputs.table(spark, folder, "lineitem")
         .groupBy(F.col("l_orderkey").alias("index"), (F.col("l_linenumber") - 1).alias("sample_index"))
         .agg(F.max("l_suppkey").alias("n"), F.max("l_quantity").alias("latency_s"))
         .select(

@@ -45,6 +45,35 @@ def _sweep_csv(spark, folder):
         "k", "execution_accuracy", "duration_s", "executable_rate", "run_dir")
 
 
+@query("sweep_csv_by_name", f"""WITH {_METRICS_SQL} SELECT k, execution_accuracy, duration_s, NULL::DOUBLE AS executable_rate,
+CAST(key AS VARCHAR) AS run_dir FROM metrics WHERE k IS NOT NULL""")
+def _sweep_csv_by_name(spark, folder):
+    # Columns in another order, one of them unknown.
+    path = new_folder(spark, "sweep")
+    _raw_metrics(spark, folder).select("run_dir", F.lit("x").alias("other"), "execution_accuracy", "k", "duration_s").write.option("header", True).csv(path)
+    return sweeps.coerce_metrics(records.read_sweep(spark, csv_path=path), ["k"], ["execution_accuracy", "duration_s", "executable_rate"]).select(
+        "k", "execution_accuracy", "duration_s", "executable_rate", "run_dir")
+
+
+@query("sweep_json", f"""WITH {_METRICS_SQL} SELECT k, execution_accuracy, duration_s, NULL::DOUBLE AS executable_rate,
+CAST(key AS VARCHAR) AS run_dir FROM metrics WHERE k IS NOT NULL""")
+def _sweep_json(spark, folder):
+    return _sweep_through(spark, folder, "json", "json_path")
+
+
+@query("sweep_jsonl", f"""WITH {_METRICS_SQL} SELECT k, execution_accuracy, duration_s, NULL::DOUBLE AS executable_rate,
+CAST(key AS VARCHAR) AS run_dir FROM metrics WHERE k IS NOT NULL""")
+def _sweep_jsonl(spark, folder):
+    return _sweep_through(spark, folder, "jsonl", "jsonl_path")
+
+
+def _sweep_through(spark, folder, fmt, argument):
+    path = new_folder(spark, "sweep")
+    records.write_sweep(_raw_metrics(spark, folder), path, fmt)
+    return sweeps.coerce_metrics(records.read_sweep(spark, **{argument: path}), ["k"], ["execution_accuracy", "duration_s", "executable_rate"]).select(
+        "k", "execution_accuracy", "duration_s", "executable_rate", "run_dir")
+
+
 @query("last_record_per_run", """SELECT user_id AS run_id, max(event_id) AS seq, arg_max(props, event_id) AS metrics,
 arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id""")
 def _last_record(spark, folder):

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 
@@ -5,8 +6,9 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F, types as T
 
 from quorumql.functions import coerce, messages, sqltext, text
-from quorumql.functions.cells import canonical_cells
+from quorumql.functions.cells import canonical_cells, shown_cells
 from quorumql.functions.render import fixed_or_na, general_format, json_text, render_value
+from quorumql.operators import previews
 from quorumql.operators.profiling import date_looking, numeric_looking
 
 ANSWERS = [
@@ -199,3 +201,22 @@ def test_canonical_cells_keep_small_differences(spark):
 def test_odd_column_names_are_fine(spark):
     df = spark.sql("SELECT 1 AS a, 2 AS b").toDF("x", "y.`z")
     assert df.select(canonical_cells(df)).collect()[0][0] == ["d:1", "d:2"]
+
+
+def test_statements_of_texts_with_separators(evaluate_column):
+    texts = ["a; b", "a -- c; d\n; e", "x ';' y", "", ";;", "/* ; */ q"]
+    assert evaluate_column(texts, "string", F.size(sqltext.split_statements(F.col("v")))) == [2, 2, 1, 0, 0, 1]
+
+
+def test_large_doubles_equal_decimals(spark):
+    df = spark.sql("SELECT 1e19D AS a, CAST(10000000000000000000 AS DECIMAL(38,0)) AS b, 2.50D AS c, -0.0D AS d, 9007199254740993D AS e, 0.1234567D AS f")
+    cells = df.select(canonical_cells(df)).first()[0]
+    assert cells[0] == cells[1] == "d:10000000000000000000" and cells[2:] == ["d:2.5", "d:0", "d:9007199254740992", "d:0.123457"]
+
+
+def test_shown_cells_leave_values_alone(spark):
+    df = spark.sql("SELECT 0.123456789D AS a, true AS b, 2.0D AS c, CAST('NaN' AS DOUBLE) AS d, 'x' AS e, CAST(NULL AS INT) AS f, CAST(1.50 AS DECIMAL(5,2)) AS g")
+    rows = df.select(F.lit(0).cast("long").alias("index"), F.lit(0).alias("row_pos"), canonical_cells(df).alias("cells"), shown_cells(df).alias("shown"))
+    queries = spark.createDataFrame([(0, "```sql\nselect 1;\n```", None, list("abcdefg"))], "index long, sql string, error string, columns array<string>")
+    payload = json.loads(previews.previews(queries, rows).first().payload)
+    assert payload["rows"] == [[0.123456789, True, 2.0, "NaN", "x", None, 1.5]] and payload["sql"] == "select 1"
