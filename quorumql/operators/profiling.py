@@ -7,7 +7,7 @@ Both pre-aggregate on the map side, so a value held by a third of all rows costs
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
@@ -22,6 +22,7 @@ DATE_PATTERNS = ("____-__-__%", "____/__/__%", "__/__/____%")
 NUMERIC_SHARE = 0.9
 DATE_SHARE = 0.8
 MODES = ("off", "stats", "stats_and_samples")
+MEASURES = ("types", "ranges")
 MAX_COLUMNS = 80
 TOP_K = 3
 
@@ -168,7 +169,7 @@ def _shown(prefix: str, used: list[str]) -> Column:
 
 
 def _raw_stats(
-    db_id: str | None, table_name: str, df: DataFrame, max_columns: int, used: list[str]
+    db_id: str | None, table_name: str, df: DataFrame, max_columns: int, used: list[str], asked: Sequence[str]
 ) -> DataFrame:
     """Counts and typed ranges of one table in long form. Expressions over many columns are written as SQL text:
     one call builds them all, where a call per column operation would make planning slower than running."""
@@ -178,11 +179,11 @@ def _raw_stats(
         by_declaration = declared_class(dtype, field.name)
         is_text = isinstance(dtype, T.StringType)
         measures.append(f"count({column}) AS filled_{i}")
-        classed = by_declaration is None and is_text
+        classed = "types" in asked and by_declaration is None and is_text
         if classed:
             measures.append(f"count_if({_NUMERIC_SQL.format(column)}) AS numeric_{i}")
             measures.append(f"count_if({_date_sql(column)}) AS dates_{i}")
-        ranged = not isinstance(dtype, _NESTED) and (by_declaration is not None or is_text)
+        ranged = "ranges" in asked and not isinstance(dtype, _NESTED) and (by_declaration is not None or is_text)
         if ranged:
             measures += [f"min({column}) AS low_{i}", f"max({column}) AS high_{i}"]
 
@@ -206,17 +207,23 @@ def _raw_stats(
     return long.selectExpr(*_key_sql(db_id, table_name), "rows", "c.*")
 
 
-def column_stats(tables: Tables, max_columns: int = MAX_COLUMNS) -> DataFrame:
+def column_stats(tables: Tables, max_columns: int = MAX_COLUMNS, measures: Sequence[str] = MEASURES) -> DataFrame:
     """One row per column: row and null counts, inferred type, and the rendered range of numeric and date columns.
 
+    ``measures`` names what is worked out beside the counts; what is left out is null and costs nothing. Ranges need
+    types, which tell whose range is shown.
+
     Each table is one aggregation with all its columns side by side. Types and printed ranges are worked out on
     the long form of all tables together, so the plan stays small.
     """
+    asked = tuple(measures)
+    if not set(asked) <= set(MEASURES) or asked == ("ranges",):
+        raise ValueError(f"measures must be among {', '.join(MEASURES)}, ranges with types; not {asked!r}")
     keyed = _keyed(tables)
     used = _used_families(keyed, max_columns) or ["other"]
-    raw = reduce(DataFrame.unionByName, [_raw_stats(d, n, df, max_columns, used) for d, n, df in keyed])
+    raw = reduce(DataFrame.unionByName, [_raw_stats(d, n, df, max_columns, used, asked) for d, n, df in keyed])
     typed = raw.selectExpr("*", f"""
-        CASE WHEN column_name IS NULL THEN NULL ELSE coalesce(declared_class, CASE
+        CASE WHEN column_name IS NULL OR {"types" not in asked} THEN NULL ELSE coalesce(declared_class, CASE
           WHEN filled = 0 THEN 'unknown'
           WHEN try_divide(numeric, filled) >= {NUMERIC_SHARE} THEN 'numeric'
           WHEN try_divide(dates, filled) >= {DATE_SHARE} THEN 'date-ish'

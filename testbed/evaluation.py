@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quorumql.functions.cells import canonical_cells
 from quorumql.operators import compare, metrics, voting
 from quorumql.operators.positions import with_group_position
+from quorumql.operators.runs import RunSettings, full_records, with_run_fields
+from quorumql.operators.sweeps import sweep_metrics
 from quorumql.plans.evaluation import evaluate
 from quorumql.session import new_folder
 from quorumql.sources import records
@@ -290,6 +292,52 @@ def _run_summary(spark, folder):
     return _rounded(_evaluation(spark, folder).summary())
 
 
+_SETTINGS = RunSettings(
+    "2024-05-01T10:00:00+00:00", "2024-05-01T10:01:30+00:00", "single_shot", "model-a", "runs/one", True, 6, 4, 5000)
+
+
+@query("run_summary_fields", f"""WITH {SAMPLES_SQL} SELECT count(*) AS num_examples, '2024-05-01T10:00:00+00:00' AS started_at,
+'single_shot' AS strategy, 'model-a' AS model, true AS ordered_result_compare, CAST(6 AS INTEGER) AS float_precision,
+CAST(5000 AS INTEGER) AS self_consistency_samples, true AS self_consistency_enabled, 'runs/one' AS run_dir,
+'runs/one/predictions.jsonl' AS predictions_path, round(avg(CAST(exec_match AS INT)), 6) AS execution_accuracy FROM records""")
+def _run_summary_fields(spark, folder):
+    made = with_run_fields(_evaluation(spark, folder).summary(), _SETTINGS)
+    return made.select(
+        "num_examples", "started_at", "strategy", "model", "ordered_result_compare", "float_precision", "self_consistency_samples",
+        "self_consistency_enabled", "run_dir", "predictions_path", F.round("execution_accuracy", 6).alias("execution_accuracy"))
+
+
+@query("summary_to_sweep", f"""WITH {SAMPLES_SQL} SELECT db_id AS arm_id, CAST(1 AS INTEGER) AS k, NULL::VARCHAR AS error, count(*) AS num_examples,
+round(avg(CAST(exec_match AS INT)), 6) AS execution_accuracy, 90.0::DOUBLE AS duration_s, 'runs/one' AS run_dir,
+'local/' || db_id || '/summary.json' AS local_summary_path FROM records GROUP BY db_id""")
+def _summary_to_sweep(spark, folder):
+    """Summaries written, read back and fed to the sweep table as they are; each database is an arm."""
+    made = with_run_fields(_evaluation(spark, folder).summary(["db_id"]), _SETTINGS)
+    path = new_folder(spark, "summaries")
+    records.write_summary(made, path, run=None)
+    stored = spark.read.schema(made.schema).json(path).withColumnRenamed("db_id", "arm_id")
+    arms = stored.select("arm_id", F.lit(1).alias("k"), F.lit(None).cast("string").alias("error"), F.concat(F.lit("local/"), "arm_id").alias("local_run_dir"))
+    return sweep_metrics(arms, stored, stored.limit(0)).select(
+        "arm_id", "k", "error", "num_examples", F.round("execution_accuracy", 6).alias("execution_accuracy"), "duration_s", "run_dir",
+        "local_summary_path")
+
+
+@query("full_records", f"""WITH {SAMPLES_SQL}
+SELECT r.idx AS "index", 'single_shot' AS strategy, CASE WHEN count(s.sample_index) > 0 THEN CAST(count(s.sample_index) AS INTEGER) END AS num_samples,
+CASE WHEN count(s.sample_index) > 0 THEN CAST(sum(s.sample_index) AS BIGINT) END AS sample_sum,
+CASE WHEN count(s.sample_index) > 0 THEN count(*) FILTER (WHERE g.first_sample = v.selected_sample) END AS num_selected
+FROM records r LEFT JOIN samples s ON s.idx = r.idx LEFT JOIN groups g ON g.idx = s.idx AND g.outcome = s.outcome LEFT JOIN votes v ON v.idx = s.idx
+GROUP BY r.idx""")
+def _full_records(spark, folder):
+    done = _evaluation(spark, folder)
+    made = full_records(done.predictions, voting.sample_details(done.samples, done.votes), _SETTINGS)
+    listed = F.col("self_consistency_sampled_predictions")
+    return made.select(
+        "index", "strategy", F.nullif(F.size(listed), F.lit(-1)).alias("num_samples"),
+        F.aggregate(listed, F.lit(0).cast("bigint"), lambda t, s: t + s["sample_index"]).alias("sample_sum"),
+        F.aggregate(listed, F.lit(0).cast("bigint"), lambda t, s: t + s["selected_by_vote"].cast("int")).alias("num_selected"))
+
+
 @query("summary_by_group", f"""WITH {SAMPLES_SQL}
 SELECT 'run' AS "grouping", 1 AS run_id, NULL AS db_id, NULL AS difficulty, {_SUMMARY_SQL} FROM records
 UNION ALL SELECT 'db', 1, db_id, NULL, {_SUMMARY_SQL} FROM records GROUP BY db_id

@@ -42,8 +42,8 @@ def _tables(spark, folder) -> dict[str, DataFrame]:
     return {**found, "texts": inputs.text_columns(spark, folder)}
 
 
-def _stats(spark, folder) -> DataFrame:
-    return profiling.column_stats(_tables(spark, folder))
+def _stats(spark, folder, measures=profiling.MEASURES) -> DataFrame:
+    return profiling.column_stats(_tables(spark, folder), measures=measures)
 
 
 def _rendered(column: str, kind: str) -> str:
@@ -88,20 +88,20 @@ def _range_sql(c: str, k: str, side: str) -> str:
 @query("profile_row_count", f"WITH {TEXT_SQL} " + " UNION ALL ".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in PROFILED))
 def _row_count(spark, folder):
-    return _stats(spark, folder).where("ordinal = 0").select("table_name", "row_count")
+    return _stats(spark, folder, ()).where("ordinal = 0").select("table_name", "row_count")
 
 
 @query("profile_nulls", _per_column(lambda t, i, c, k: (
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count, "
     f"round(1 - count({c}) / CAST(count(*) AS DOUBLE), 6) AS null_rate FROM {t}")))
 def _nulls(spark, folder):
-    return _stats(spark, folder).select("table_name", "column_name", "null_count", F.round("null_rate", 6).alias("null_rate"))
+    return _stats(spark, folder, ()).select("table_name", "column_name", "null_count", F.round("null_rate", 6).alias("null_rate"))
 
 
 @query("profile_types", _per_column(lambda t, i, c, k: (
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, '{k}' AS declared_type, {_type_sql(c, k)} AS inferred_type FROM {t}")))
 def _types(spark, folder):
-    return _stats(spark, folder).select("table_name", "column_name", "declared_type", "inferred_type")
+    return _stats(spark, folder, ("types",)).select("table_name", "column_name", "declared_type", "inferred_type")
 
 
 @query("profile_minmax", _per_column(lambda t, i, c, k: (

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quorumql.functions import messages, sqltext
 from quorumql.functions.cells import canonical_cells
 from quorumql.operators import answers, previews, rewards
+from quorumql.plans import training
 from testbed import inputs
 from testbed.registry import query
 
@@ -191,6 +192,22 @@ def _reward_metrics(spark, folder):
     return means.withColumns({c: F.round(c, 6) for c in ("reward", "exec_match", "executable", "exact_match", "prediction_has_sql")})
 
 
+@query("reward_rollouts", """WITH finals AS (
+  SELECT conv_id, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS final_text FROM conversations GROUP BY conv_id),
+flags AS (SELECT conv_id, trim(final_text, ' ' || chr(9) || chr(10) || chr(13)) <> '' AS has_sql, conv_id % 3 = 0 AS same FROM finals)
+SELECT conv_id, has_sql AND conv_id % 2 = 0 AS executable, has_sql AND conv_id % 4 = 0 AS exec_match, has_sql AND same AS exact_match,
+(CASE WHEN has_sql AND conv_id % 4 = 0 THEN 1.0 ELSE 0 END + CASE WHEN has_sql AND conv_id % 2 = 0 THEN 0.25 ELSE 0 END
+ + CASE WHEN has_sql AND same THEN 0.125 ELSE 0 END)::DOUBLE AS reward FROM flags""")
+def _reward_rollouts(spark, folder):
+    messages_ = inputs.table(spark, folder, "conversations").withColumn("name", F.lit(None).cast("string"))
+    key = F.col("conv_id")
+    finals = rewards.last_assistant_text(messages_)
+    gold = finals.select("conv_id", F.when(key % 3 == 0, F.concat("final_text", F.lit(";"))).otherwise(F.lit("select 1")).alias("gold_sql"))
+    outcomes = finals.select("conv_id", (key % 2 == 0).alias("executable"), (key % 4 == 0).alias("exec_match"))
+    made = training.reward_rollouts(messages_, gold, outcomes, exec_match=1.0, executable=0.25, exact_sql=0.125)
+    return made.select("conv_id", "executable", "exec_match", "exact_match", "reward")
+
+
 # ---- previews --------------------------------------------------------------------------------------------------
 
 

@@ -91,3 +91,24 @@ def test_profiling_runs_a_fixed_number_of_scans(spark, folder):
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert text.count("Relation [") == 3  # the frequencies feed both distinct counts and top values
         assert "PythonUDF" not in text and "ArrowEvalPython" not in text
+
+
+def test_chosen_measures_alone_are_in_the_plan(spark, folder):
+    tables = {"orders": spark.read.parquet(f"{folder}/orders.parquet")}
+    counts = profiling.column_stats(tables, measures=())
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(" not in plan and "RLIKE" not in plan and "max(" not in plan
+    row = counts.first()
+    assert row.row_count == tables["orders"].count() and row.inferred_type is None and row.min_value is None
+    types = profiling.column_stats(tables, measures=("types",)).where("column_name = 'o_totalprice'").first()
+    assert types.inferred_type == "numeric" and types.max_value is None
+    with pytest.raises(ValueError, match="measures"):
+        profiling.column_stats(tables, measures=("ranges",))
+
+
+def test_frequencies_are_shuffled_once(spark, folder):
+    tables = {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in ("nation", "region")}
+    profiles = profiling.profile_tables(tables)
+    profiles.collect()
+    plan = profiles._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
