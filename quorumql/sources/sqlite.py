@@ -1,7 +1,10 @@
 """Reading tables out of SQLite files in parallel rowid ranges.
 
 The files must lie where every executor can read them. A table is cut into ranges of its rowid, each read by its
-own task over its own read-only connection in batches, so no task holds a table.
+own task over its own read-only connection in batches, so no task holds a table. A table without rowid is one range.
+
+Cells may hold values of any type whatever their column declares. A value that its column's type cannot carry is an
+error, never a null; ``as_text`` reads every column as text instead.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 ROWS_PER_PARTITION = 1_000_000
 ROWS_PER_BATCH = 10_000
+#: Ranges that one table is cut into at most; sparse rowids make the ranges wider.
+MOST_RANGES = 1000
 _CATALOG_SQL = "SELECT name FROM sqlite_master WHERE type = 'table' AND name NOT LIKE 'sqlite_%' ORDER BY name"
 
 
@@ -40,12 +45,18 @@ def _spark_type(declared: str) -> str:
     return "string"
 
 
-_READERS = {
-    "bigint": lambda v: v if isinstance(v, int) else None,
-    "double": lambda v: float(v) if isinstance(v, (int, float)) else None,
-    "binary": lambda v: v if isinstance(v, bytes) else None if v is None else str(v).encode(),
-    "string": lambda v: None if v is None else v.hex() if isinstance(v, bytes) else str(v),
-}
+_FITTING = {"bigint": (int,), "double": (int, float), "binary": (bytes,)}
+_CONVERT = {"bigint": int, "double": float, "binary": bytes, "string": lambda v: v.hex() if isinstance(v, bytes) else str(v)}
+
+
+def _converted(name: str, kind: str, values: Sequence) -> list:
+    fitting = _FITTING.get(kind)
+    if fitting and (odd := next((v for v in values if v is not None and not isinstance(v, fitting)), None)) is not None:
+        raise ValueError(f"column {name} is read as {kind} and holds {odd!r}; read the table as text")
+    convert = _CONVERT[kind]
+    return [None if v is None else convert(v) for v in values]
+
+
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "string": pa.string()}
 
 
@@ -68,7 +79,8 @@ class _Reader(DataSourceReader):
                 return [_Range(None, None)]
         if low is None:
             return [_Range(0, 0)]
-        return [_Range(start, min(start + self.rows, high + 1)) for start in range(low, high + 1, self.rows)]
+        width = max(self.rows, -(-(high + 1 - low) // MOST_RANGES))
+        return [_Range(start, min(start + width, high + 1)) for start in range(low, high + 1, width)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         names = ", ".join(_quoted(n) for n, _ in self.columns)
@@ -81,8 +93,8 @@ class _Reader(DataSourceReader):
             cursor = connection.execute(query, bounds)
             while rows := cursor.fetchmany(ROWS_PER_BATCH):
                 arrays = [
-                    pa.array([_READERS[t](v) for v in values], type=_ARROW[t])
-                    for (_, t), values in zip(self.columns, zip(*rows))
+                    pa.array(_converted(n, t, values), type=_ARROW[t])
+                    for (n, t), values in zip(self.columns, zip(*rows))
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
@@ -97,7 +109,8 @@ class SQLiteTables(DataSource):
     def _columns(self) -> list[tuple[str, str]]:
         with _open(self.options["path"]) as connection:
             rows = connection.execute(f"PRAGMA table_info({_quoted(self.options['table'])})").fetchall()
-        return [(r[1], _spark_type(r[2])) for r in rows]
+        as_text = str(self.options.get("asText", "false")).lower() == "true"
+        return [(r[1], "string" if as_text else _spark_type(r[2])) for r in rows]
 
     def schema(self) -> str:
         return ", ".join(f"`{n.replace('`', '``')}` {t}" for n, t in self._columns())
@@ -113,12 +126,12 @@ def list_tables(path: str) -> list[str]:
 
 
 def read_sqlite(
-    spark: SparkSession, path: str, table: str, rows_per_partition: int = ROWS_PER_PARTITION
+    spark: SparkSession, path: str, table: str, rows_per_partition: int = ROWS_PER_PARTITION, as_text: bool = False
 ) -> DataFrame:
     spark.dataSource.register(SQLiteTables)
     return (
         spark.read.format("sqlite_table")
-        .options(path=path, table=table, rowsPerPartition=str(rows_per_partition))
+        .options(path=path, table=table, rowsPerPartition=str(rows_per_partition), asText=str(as_text).lower())
         .load()
     )
 

@@ -33,6 +33,22 @@ def test_sqlite_tables_in_ranges(spark, tmp_path):
     assert read_sqlite(spark, path, "keyed").collect()[0].v == 1
 
 
+def test_sqlite_values_are_never_lost(spark, tmp_path):
+    path = str(tmp_path / "odd.sqlite")
+    with sqlite3.connect(path) as connection:
+        connection.execute("CREATE TABLE t (n INT, p POINT, r REAL)")
+        connection.execute("INSERT INTO t VALUES (1, 2, 3.5), ('one', '(1,2)', 'x'), (2.5, NULL, 1)")
+        connection.execute("CREATE TABLE sparse (id INTEGER PRIMARY KEY)")
+        connection.execute("INSERT INTO sparse VALUES (-9000000000000000000), (0), (9000000000000000000)")
+    connection.close()
+    with pytest.raises(Exception, match="read the table as text"):
+        read_sqlite(spark, path, "t").collect()
+    rows = read_sqlite(spark, path, "t", as_text=True).collect()
+    assert sorted(r.n for r in rows) == ["1", "2.5", "one"] and {r.p for r in rows} == {"2", "(1,2)", None}
+    assert read_sqlite(spark, path, "sparse", rows_per_partition=10**18).count() == 3
+    assert read_sqlite(spark, path, "sparse", rows_per_partition=1000).rdd.getNumPartitions() <= 1001
+
+
 def test_ingest(spark, tmp_path):
     path = str(tmp_path / "d.sqlite")
     make_file(path, 50)
