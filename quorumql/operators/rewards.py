@@ -70,6 +70,29 @@ def apply_tool_budget(
     return calls.join(last, list(keys), "left").withColumn("status", status).drop("_last_allowed")
 
 
+def serve_calls(
+    calls: DataFrame, max_calls: int = 8, keys: Sequence[str] = CONVERSATION, turn: str = "turn", pos: str = "pos"
+) -> DataFrame:
+    """Calls of the rounds that take place, with their ``status``: ``served_rounds`` and ``apply_tool_budget`` at once.
+
+    Both limits come from one narrow pass: the rank of the turn limits rows before the shuffle, and the calls of the
+    turns left are counted in the same partitions. The calls themselves are joined with the limits once.
+    """
+    most, wanted, place = max(max_calls, 0), F.col("name") == QUERY_TOOL, F.struct(turn, pos)
+    whole = Window.partitionBy(*keys)
+    first_turns = calls.select(*keys, turn, pos, "name").withColumn(
+        "_rank", F.dense_rank().over(whole.orderBy(turn))).where(F.col("_rank") <= most + EXTRA_ROUNDS)
+    counted = first_turns.withColumn("_calls", F.count_if(wanted).over(
+        whole.orderBy(turn, pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    limits = counted.groupBy(*keys).agg(
+        F.max(turn).alias("_last_turn"), F.max(F.when(wanted & (F.col("_calls") <= most), place)).alias("_last_allowed"))
+    status = (
+        F.when(~wanted, F.lit("unsupported")).when(place <= F.col("_last_allowed"), F.lit("run")).otherwise(F.lit("over_budget"))
+    )
+    served = calls.join(limits, list(keys)).where(F.col(turn) <= F.col("_last_turn"))
+    return served.withColumn("status", status).drop("_last_turn", "_last_allowed")
+
+
 def served_rounds(
     calls: DataFrame, max_calls: int = 8, keys: Sequence[str] = CONVERSATION, turn: str = "turn"
 ) -> DataFrame:

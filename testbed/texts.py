@@ -154,8 +154,20 @@ numbered AS (
 SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
 CASE WHEN name <> 'query' THEN 'unsupported' WHEN n <= 20 THEN 'run' ELSE 'over_budget' END AS status FROM numbered""")
 def _tool_budget(spark, folder):
-    calls = rewards.served_rounds(rewards.tool_calls(inputs.call_messages(spark, folder)), 20)
-    return rewards.apply_tool_budget(calls, 20).select("conv_id", "turn", "pos", "status")
+    calls = rewards.tool_calls(inputs.call_messages(spark, folder))
+    return rewards.serve_calls(calls, 20).select("conv_id", "turn", "pos", "status")
+
+
+@query("tool_budget_steps", f"""WITH {_CALLS_SQL}, served AS (
+  SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM calls),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, name ORDER BY turn, pos) AS n FROM served WHERE r <= 9)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos,
+CASE WHEN name <> 'query' THEN 'unsupported' WHEN n <= 5 THEN 'run' ELSE 'over_budget' END AS status FROM numbered""")
+def _tool_budget_steps(spark, folder):
+    # The two limits one after the other.
+    calls = rewards.served_rounds(rewards.tool_calls(inputs.call_messages(spark, folder)), 5)
+    return rewards.apply_tool_budget(calls, 5).select("conv_id", "turn", "pos", "status")
 
 
 @query("token_usage", f"""WITH {_CALLS_SQL} SELECT conv_id, CAST(sum(k) AS BIGINT) AS prompt_tokens,
