@@ -12,6 +12,7 @@ the counts by bucket and task are summed up, and each piece adds its place to it
 from __future__ import annotations
 
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quorumql.llm.common import Lexicon, slices
-from quorumql.llm.tokens import by_bytes, encoder
+from quorumql.llm.common import slices
+from quorumql.llm.tokens import encoder
 from quorumql.session import freeze
 
 LIMIT, END = 4096, 2
+#: Parts whose ids a process holds.
+MOST_PARTS = 600_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, place long"
 
 
@@ -34,16 +37,22 @@ def binary_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << k for k in range(limit.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def id_lexicon(path: str) -> tuple[Lexicon, list[bytes], object]:
-    """Little-endian ids by part of a text, kept beside the part's number; made inside a task."""
-    own, ids = encoder(path), []
+class PartIds(dict):
+    """Little-endian ids by part of a text, worked out once."""
 
-    def make(parts: list[str]) -> np.ndarray:
-        for batch in by_bytes(parts):
-            ids.extend(np.array(x, dtype="<u4").tobytes() for x in own.ids(batch))
-        return np.zeros(len(parts), np.int8)
+    def __init__(self, path: str) -> None:
+        super().__init__()
+        self.encoder = encoder(path)
 
-    return Lexicon(make, 300_000), ids, own.parts
+    def __missing__(self, part: str) -> bytes:
+        found = self[part] = self.encoder.packed(part)
+        return found
+
+
+@cache
+def part_ids(path: str) -> PartIds:
+    """One table for each process, so that it serves all tasks there."""
+    return PartIds(path)
 
 
 def cut_documents(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -53,19 +62,15 @@ def cut_documents(docs: DataFrame, path: str, end: int = END, limit: int = LIMIT
     closing = np.array([end], dtype="<u4").tobytes()
 
     def run(batches):
-        lexicon, ids, parts = id_lexicon(path)
+        ids, parts = part_ids(path), encoder(path).parts
         task, places = TaskContext.get().partitionId(), {}
         for batch in batches:
             for rows in slices(batch, "text"):
-                if len(lexicon) > lexicon.most:
-                    lexicon.trim()
+                if len(ids) > MOST_PARTS:
                     ids.clear()
                 out: list[list] = [[], [], [], [], [], []]
-                texts = [parts(t) if t else [] for t in rows.column("text").to_pylist()]
-                numbers = [list(map(lexicon.__getitem__, words)) for words in texts]
-                lexicon.rows()
-                for doc, found in zip(rows.column("key").to_pylist(), numbers):
-                    own = b"".join(map(ids.__getitem__, found)) + closing
+                for doc, text in zip(rows.column("key").to_pylist(), rows.column("text").to_pylist()):
+                    own = b"".join(map(ids.__getitem__, parts(text))) + closing if text else closing
                     tokens, start = len(own) // 4, 0
                     for length in binary_lengths(tokens, limit):
                         places[length] = place = places.get(length, -1) + 1
