@@ -11,7 +11,7 @@ from quorumql.llm.language import keep_known_language
 from quorumql.llm.packing import pack
 from quorumql.llm.simhash import drop_near_copies
 from quorumql.llm.toxicity import drop_toxic
-from quorumql.session import freeze
+from quorumql.session import new_folder, scratch
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage writes for itself goes when it has ended; the stages' results stay."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = freeze(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = new_folder(spark, name.replace(" ", "_"))
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -31,6 +31,11 @@ PER_LANGUAGE, MOST_CHARS = 1500, 20_000
 REJECTED_SHARE = 0.0005
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters; the pattern also takes numerals that are no digits, which alone make no word."""
+    return [word for word in LETTERS.findall(text) if word.isalpha() or any(map(str.isalpha, word))]
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return gram_buckets(words, (3, 4), BUCKETS)
 
@@ -65,7 +70,7 @@ class LanguageModel:
         def make(tokens: list[str]) -> np.ndarray:
             words, owner = [], []
             for i, token in enumerate(tokens):
-                for word in LETTERS.findall(token):
+                for word in words_of(token):
                     words.append(word)
                     owner.append(i)
             rows = np.zeros((len(tokens), len(self.languages) + 1))
@@ -95,7 +100,7 @@ def fit(texts: list[str], languages: list[str], epochs: int = 4, rate: float = 0
     weights, bias = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32), np.zeros(len(names), np.float32)
     items, left_out = [], []
     for i, (text, language) in enumerate(zip(texts, languages)):
-        words = LETTERS.findall(text.lower())
+        words = words_of(text.lower())
         if not words:
             continue
         if i % 5 == 4:

@@ -13,7 +13,7 @@ from quorumql.llm.common import bounded_sample, held_out
 from quorumql.llm.dom import read_page
 from quorumql.llm.language import keep_known_language, predict_language, train_language_model
 
-ODD = [(1, None), (2, ""), (3, "12 34 !?"), (4, "the " * 30_000), (None, "the and of the"), (5, "日本"), (5, "日本")]
+ODD = [(1, None), (2, ""), (3, "12 34 !? ²½"), (4, "the " * 30_000), (None, "the and of the"), (5, "日本"), (5, "日本")]
 
 
 @pytest.fixture(scope="module")
