@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quorumql.operators.positions import with_position
+from quorumql.operators.positions import null_safe_join, with_position
 
 
 def filter_by_db(examples: DataFrame, db_id: str | None = None) -> DataFrame:
@@ -24,7 +24,8 @@ def slice_rows(
 ) -> DataFrame:
     """Rows ``offset .. offset+limit`` in order. An offset of 0 or below is ignored, limit None takes all, 0 none.
 
-    The order columns must identify a row: only they are sorted, and the slice is read back by a semi-join.
+    The order columns must identify a row, null being a value like any other and the first: only they are sorted, and
+    the slice is read back by a semi-join.
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
@@ -33,7 +34,7 @@ def slice_rows(
     if limit == 0:
         return df.where(F.lit(False))
     placed = with_position(df.select(*order), order, "_place")
-    return df.join(_between(placed, offset, limit), list(order), "left_semi")
+    return null_safe_join(df, _between(placed, offset, limit), order, "left_semi")
 
 
 def slice_strict(df: DataFrame, offset: int, limit: int, order: Sequence[str] = ("index",)) -> DataFrame:

@@ -154,3 +154,9 @@ def test_strategies(spark):
     assert rows[1, 0].sql == "" and rows[1, 0].generation_error == strategies.NO_GENERATION
     with pytest.raises(ValueError):
         strategies.strategy("other")
+
+
+def test_slices_keep_null_keys(spark):
+    rows = spark.createDataFrame([(None, "x"), (3, "a"), (1, "b")], "index long, name string")
+    assert sorted(r.name for r in selection.slice_rows(rows, 0, 2).collect()) == ["b", "x"]
+    assert [r.name for r in selection.slice_rows(rows, 2, None).collect()] == ["a"]
