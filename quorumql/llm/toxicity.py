@@ -187,10 +187,12 @@ def windows(found: list[np.ndarray], blank: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(numbers), np.concatenate(length), np.concatenate(owner)
 
 
-def log_odds(buckets: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
-    """How much more often a bucket occurs under label 1 than under label 0, in logs; half an occurrence is added to each."""
-    ones = np.bincount(buckets[labels == 1], minlength=size)
-    zeros = np.bincount(buckets[labels == 0], minlength=size)
+def log_odds(buckets: np.ndarray, ones: np.ndarray, zeros: np.ndarray, size: int) -> np.ndarray:
+    """How much more often a bucket occurs under label 1 than under label 0, in logs; half an occurrence is added to each.
+
+    ``ones`` and ``zeros`` tell how many documents of each label hold what lies in the bucket.
+    """
+    ones, zeros = np.bincount(buckets, ones, size), np.bincount(buckets, zeros, size)
     share = max(1, ones.sum()) / max(1, zeros.sum())
     return np.log(ones + 0.5) - np.log(zeros * share + 0.5)
 
@@ -222,14 +224,12 @@ def fit(texts: list[str], labels: list[int], epochs: int = 7, rate: float = 0.02
     order = np.argsort(owner, kind="stable")
     owner, grams = owner[order], grams[order]
     first = np.searchsorted(owner, np.arange(len(lexicon) + 1))
-    doc_of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-    used = np.concatenate(found) if found else np.zeros(0, np.int64)
-    pair = np.unique(used * np.int64(len(found)) + doc_of)
-    token, doc = pair // len(found), pair % len(found)
-    model.word[:, 0] = 0.5 * log_odds(own[token], y[doc], WORD_BUCKETS)
-    count = first[token + 1] - first[token]
-    at = np.repeat(first[token], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    model.char[:, 0] = 0.5 * log_odds(grams[at], np.repeat(y[doc], count), CHAR_BUCKETS)
+    # In how many documents of either label each token occurs.
+    held = [np.zeros(len(lexicon)), np.zeros(len(lexicon))]
+    for label, tokens in zip(y, found):
+        held[label][np.unique(tokens)] += 1
+    model.word[:, 0] = 0.5 * log_odds(own, held[1], held[0], WORD_BUCKETS)
+    model.char[:, 0] = 0.5 * log_odds(grams, held[1][owner], held[0][owner], CHAR_BUCKETS)
     numbers, length, text_of = windows(found, 0)
     positive = y[text_of] == 1
     moments: dict[int, list[np.ndarray]] = {}
