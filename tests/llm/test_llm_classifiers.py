@@ -216,3 +216,31 @@ def test_licences(spark, documents):
 
 def test_every_template_holds_an_anchor():
     assert all(re.search(licences.ANCHORS, text.lower()) for texts in licences.TEMPLATES.values() for text in texts)
+
+
+@pytest.fixture(scope="module")
+def licence_model(documents):
+    return licences.train_licence_model(documents)
+
+
+LICENCE_LINES = {
+    "All rights reserved.": "Proprietary", "\u00a9 2020 Acme Inc. All rights reserved.": "Proprietary", "of the": None, "All files": None, "See the LICENSE file for details.": None,
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "BSD",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "MIT",
+}
+
+
+def test_licence_lines_without_anchor_words(spark, licence_model):
+    assert not any(re.search(licences.ANCHORS, line.lower()) for line, family in LICENCE_LINES.items() if family)
+    rows = spark.createDataFrame([(i, "Some prose.\n" + line) for i, line in enumerate(LICENCE_LINES)], "doc_id int, text string")
+    found = {r.key: r.families for r in licences.scan_documents(rows, licence_model).collect()}
+    assert found == dict(enumerate(LICENCE_LINES.values()))
+
+
+def test_left_out_paragraphs_could_not_be_confirmed(spark):
+    shapes = licences.template_pairs(spark)
+    lines = [*LICENCE_LINES, "", "a", "plain words of the story", "it is the license of this dog", "free of charge", "to the software and of the terms"]
+    rows = spark.createDataFrame([(x,) for x in lines], "line string").select("line", licences.pairs(licences.words(F.col("line"))).alias("own"),
+                                                                            licences.shares_pairs(F.col("line"), shapes, 0.6).alias("met"))
+    for r in rows.collect():
+        assert r.met == any(len(set(r.own) & set(s)) / max(1, min(len(r.own), len(s))) >= 0.6 for s in shapes), r.line
