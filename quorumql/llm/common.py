@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quorumql.session import freeze
+
 #: Texts of one step inside a task are taken in slices of about this many bytes.
 SLICE_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -147,12 +149,17 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tup
 
 
 def tagged(df: DataFrame, wanted: str = "row") -> tuple[DataFrame, str]:
-    """``df`` with a number for each row, the same at every reading of a stored table."""
+    """``df`` with a number for each row. Another reading may number rows otherwise, since the splits of files depend on
+    the cores at that time: numbers that are joined must come from one table written once."""
     name = free_name(df, wanted)
     return df.withColumn(name, F.monotonically_increasing_id()), name
 
 
-def keep_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows of the stored table ``docs`` whose numbers are in the one column of ``rows``."""
+def keep_rows(docs: DataFrame, choose: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` whose numbers are in the one column of ``choose(numbered rows, name of the number)``.
+
+    The numbered rows are written once, and both sides of the join read them from there.
+    """
     own, name = tagged(docs)
-    return own.join(rows.toDF(name), name, "left_semi").select(*docs.columns)
+    own = freeze(own, "numbered")
+    return own.join(choose(own, name).toDF(name), name, "left_semi").select(*docs.columns)

@@ -35,16 +35,23 @@ def chunk_key(chunk: Column) -> Column:
 
 
 def recipes(docs: DataFrame, text: str = "text", key: str = "doc_id", hashed: Callable[[Column], Column] = chunk_key,
-            least: int = LEAST, most: int = MOST) -> DataFrame:
-    """Row number, key, digest and recipe (chunk keys, and ranks where a key has several texts) of each row of a stored table."""
-    numbered, row = tagged(docs.select(F.col(key).alias("key"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("text")))
-    numbered = numbered.withColumnRenamed(row, "row")
+            least: int = LEAST, most: int = MOST, row: str | None = None) -> DataFrame:
+    """Row number, key, digest and recipe (chunk keys, and ranks where a key has several texts) of each row of a stored table.
+
+    ``row`` names a column of numbers written before; without it rows are numbered here.
+    """
+    docs, row = (docs, row) if row else tagged(docs)
+    numbered = docs.select(F.col(row).alias("row"), F.col(key).alias("key"), ascii_lower(F.coalesce(F.col(text), F.lit(""))).alias("text"))
     cut = numbered.select("row", chunks(F.col("text"), least, most).alias("chunks"))
     pairs = cut.select(F.explode("chunks").alias("chunk")).select(hashed(F.col("chunk")).alias("id"), "chunk").distinct()
     mixed = freeze(pairs.groupBy("id").count().filter("count > 1").select("id"), "mixed")
+    hit = not mixed.isEmpty()
+    if hit:  # ranks are joined by row number
+        numbered = freeze(numbered, "numbered")
+        cut = numbered.select("row", chunks(F.col("text"), least, most).alias("chunks"))
     plain = numbered.select("row", "key", F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
                             F.transform(chunks(F.col("text"), least, most), hashed).alias("recipe"))
-    if mixed.isEmpty():
+    if not hit:
         return freeze(plain.withColumn("ranks", F.array().cast("array<int>")), "recipes")
     # Only chunks under a key with several texts are looked at again.
     met = cut.select("row", F.posexplode("chunks").alias("pos", "chunk")).withColumn("id", hashed(F.col("chunk"))).join(mixed, "id")
@@ -64,5 +71,5 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of the stored table ``docs`` that stay, with their own columns."""
-    return keep_rows(docs, exact_groups(docs).filter("kept").select("row"))
+    """The rows of ``docs`` that stay, with their own columns."""
+    return keep_rows(docs, lambda own, row: exact_groups(own, row=row).filter("kept").select("row"))

@@ -46,10 +46,13 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashed)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """Row number, key and fingerprint (as a signed long) of each row of a stored table, written once."""
-    numbered, row = tagged(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    numbered = numbered.withColumnRenamed(row, "row")
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, row: str | None = None) -> DataFrame:
+    """Row number, key and fingerprint (as a signed long) of each row of a stored table, written once.
+
+    ``row`` names a column of numbers written before; without it rows are numbered here.
+    """
+    docs, row = (docs, row) if row else tagged(docs)
+    numbered = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"))
 
     def step(rows: pa.RecordBatch) -> pa.RecordBatch:
         own = np.array([fingerprint(t, words) for t in rows.column("text").to_pylist()], dtype=np.uint64)
@@ -139,9 +142,9 @@ def links(lists: DataFrame, bits: int = BITS) -> DataFrame:
     return together.mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, bits: int = BITS) -> DataFrame:
+def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, bits: int = BITS, row: str | None = None) -> DataFrame:
     """Row number, key, fingerprint, and the component's smallest (key, row) of each row of a stored table."""
-    found = fingerprints(docs, text, key, words)
+    found = fingerprints(docs, text, key, words, row)
     nodes = found.groupBy("fp").agg(F.min(F.struct("key", "row")).alias("first"), F.min("key").alias("least"))
     roots = components(links(postings(nodes.select("fp"), bits), bits))
     rooted = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "first", "least", F.coalesce("root", "fp").alias("root"))
@@ -151,5 +154,5 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One row of each group of near copies of the stored table ``docs`` (that with the smallest key), with its own columns."""
-    return keep_rows(docs, near_groups(docs).filter("kept").select("row"))
+    """One row of each group of near copies of ``docs`` (that with the smallest key), with its own columns."""
+    return keep_rows(docs, lambda own, row: near_groups(own, row=row).filter("kept").select("row"))

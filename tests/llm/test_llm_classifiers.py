@@ -244,3 +244,20 @@ def test_left_out_paragraphs_could_not_be_confirmed(spark):
                                                                             licences.shares_pairs(F.col("line"), shapes, 0.6).alias("met"))
     for r in rows.collect():
         assert r.met == any(len(set(r.own) & set(s)) / max(1, min(len(r.own), len(s))) >= 0.6 for s in shapes), r.line
+
+
+def test_licences_stay_with_their_documents(spark, licence_model, tmp_path):
+    for i in range(6):  # files of several sizes, dealt to tasks in another way at each reading
+        texts = [f"Released under the MIT License.\nDocument {i}" if i % 2 else f"Document {i} " + "word " * 200 * i]
+        spark.createDataFrame([(i, t) for t in texts], "doc_id int, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        done = licences.scan_documents(docs, licence_model)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        assert {r.key: r.families for r in done.collect()} == {i: "MIT" if i % 2 else None for i in range(6)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")

@@ -149,3 +149,21 @@ def test_components_of_long_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 30)] + [(7, 7)]
     found = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(1, 61)}, **{100 + i: 100 for i in range(1, 30)}}
+
+
+@pytest.mark.parametrize("drop", [drop_exact_copies, simhash.drop_near_copies])
+def test_stages_keep_their_rows_if_files_are_split_anew(spark, tmp_path, drop):
+    texts = [f"story {i % 4} " + " ".join(f"w{i % 4}x{k}" for k in range(50 * (i % 4) + 40)) for i in range(8)]
+    for i, t in enumerate(texts):
+        spark.createDataFrame([(i, t)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        done = drop(docs)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        assert sorted(r.text for r in done.collect()) == sorted(set(texts))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
