@@ -31,7 +31,9 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json_array") -> Da
     """Question records with their ``index``.
 
     ``json_array`` is one file holding one JSON array; the index is the place in it. One array is parsed by one task,
-    so large sets should come as ``jsonl`` or ``parquet`` with an ``index`` field, which split freely. Missing
+    so large sets should come as ``jsonl`` or ``parquet`` with an ``index`` field, which split freely, or as
+    ``json_arrays``: a folder with subfolders ``first=N``, each of one file holding the array of the records from index N
+    on. Files are parsed one by one, by as many tasks as Spark deals them to. Missing
     optional fields get their defaults; a missing required one is an error, as are a missing file and several files.
     """
     if fmt == "json_array":
@@ -41,6 +43,11 @@ def read_examples(spark: SparkSession, path: str, fmt: str = "json_array") -> Da
         parsed = F.from_json("value", f"array<struct<{_RAW_FIELDS}>>", {"mode": "FAILFAST"})
         raw = files.select(F.posexplode(parsed).alias("_place", "_record")).select("_place", "_record.*")
         return _examples(raw, F.col("_place"))
+    if fmt == "json_arrays":
+        files = spark.read.schema("value string, first bigint").text(path, wholetext=True)
+        parsed = F.from_json("value", f"array<struct<{_RAW_FIELDS}>>", {"mode": "FAILFAST"})
+        raw = files.select("first", F.posexplode(parsed).alias("_place", "_record")).select("first", "_place", "_record.*")
+        return _examples(raw, F.col("first") + F.col("_place"))
     if fmt == "jsonl":
         return _examples(spark.read.schema(f"index bigint, {_RAW}").option("mode", "FAILFAST").json(path), F.col("index"))
     if fmt == "parquet":

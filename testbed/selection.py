@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorumql.operators import grid, prompts, selection, strategies
+from quorumql.operators.positions import with_position
 from quorumql.session import new_folder
 from quorumql.sources.examples import read_examples
 from testbed import inputs
@@ -20,6 +21,9 @@ SHUFFLED_SQL = f"""{EXAMPLES_SQL},
 shuffled AS (
   SELECT *, row_number() OVER (ORDER BY md5('7:' || "index"), "index") - 1 AS place FROM examples)"""
 
+#: Records of one array file.
+ARRAY_ROWS = 10_000
+
 
 @query("read_examples", f"WITH {EXAMPLES_SQL} SELECT * REPLACE (coalesce(nullif(difficulty, 'P'), 'unknown') AS difficulty) FROM examples")
 def _read_examples(spark, folder):
@@ -32,13 +36,15 @@ def _read_examples(spark, folder):
 @query("read_examples_array", """SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS "index", o_orderkey AS question_id,
 'db_' || o_custkey % 11 AS db_id, o_orderpriority AS question, 'SELECT ' || o_orderkey AS gold_sql, 'unknown' AS difficulty FROM orders""")
 def _read_examples_array(spark, folder):
-    # One file with one array: what a task can hold is the format's own bound.
+    # One file for each block of places, so no value grows with the table.
     path = new_folder(spark, "examples-array")
     raw = inputs.examples(spark, folder).select(
         F.col("index").alias("question_id"), "db_id", "question", "evidence", F.col("gold_sql").alias("SQL"))
-    records = raw.agg(F.array_sort(F.collect_list(F.struct(*raw.columns))).alias("all"))
-    records.select(F.to_json("all").alias("value")).coalesce(1).write.text(path)
-    return read_examples(spark, path, "json_array").select("index", "question_id", "db_id", "question", "gold_sql", "difficulty")
+    placed = with_position(raw, ["question_id"], "_place", key=["question_id"])
+    blocks = placed.groupBy((F.col("_place") - F.col("_place") % ARRAY_ROWS).alias("first")).agg(
+        F.array_sort(F.collect_list(F.struct("_place", F.struct(*raw.columns).alias("record")))).alias("all"))
+    blocks.select("first", F.to_json("all.record").alias("value")).write.partitionBy("first").text(path)
+    return read_examples(spark, path, "json_arrays").select("index", "question_id", "db_id", "question", "gold_sql", "difficulty")
 
 
 @query("filter_by_db", f"WITH {EXAMPLES_SQL} SELECT \"index\", db_id FROM examples WHERE db_id = 'db_4'")

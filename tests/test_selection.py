@@ -131,6 +131,24 @@ def test_read_examples_array(spark, tmp_path):
     ]
 
 
+def test_read_examples_from_a_folder_of_arrays(spark, tmp_path):
+    for first, records in ((0, RECORDS[:2]), (2, RECORDS[2:])):
+        (tmp_path / f"first={first}").mkdir()
+        (tmp_path / f"first={first}" / "part.json").write_text(json.dumps(records, indent=1), encoding="utf-8")
+    rows = [(r["index"], r.question_id, r.question) for r in read_examples(spark, str(tmp_path), "json_arrays").orderBy("index").collect()]
+    assert rows == [(0, 5, "q0"), (1, -1, "é"), (2, 7, "q2")]
+
+
+def test_array_query_writes_bounded_files(spark, folder, monkeypatch):
+    from testbed import selection as queries
+
+    monkeypatch.setattr(queries, "ARRAY_ROWS", 100, raising=False)
+    done = queries._read_examples_array(spark, folder)
+    keys = sorted(r[0] for r in spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey").collect())
+    assert sorted((r["index"], r.question_id) for r in done.collect()) == list(enumerate(keys))
+    assert len(done.inputFiles()) == -(-len(keys) // 100)
+
+
 def test_read_examples_errors(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         read_examples(spark, str(tmp_path / "none.json")).collect()
