@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quorumql.llm.common import held_out, table
 from quorumql.llm.exact import exact_groups
 from quorumql.llm.extraction import extract_text, train_tree_model
+from quorumql.llm.jaccard import near_sets
 from quorumql.llm.language import predict_language, train_language_model
 from quorumql.llm.licences import scan_documents, train_licence_model
 from quorumql.llm.neighbours import nearest
@@ -19,6 +20,8 @@ from quorumql.llm.pieces import encoding_report
 from quorumql.llm.simhash import near_groups
 from quorumql.llm.tokens import byte_length, count_tokens
 from quorumql.llm.toxicity import score_toxicity, train_toxicity_model
+from quorumql.llm.variants import spelling_variants
+from quorumql.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -100,3 +103,21 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     done, names = predict_language(docs.select("doc_id", "text"), train_language_model(docs))
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(names["lang_pred"]).alias("lang_pred"),
                        F.col(names["lang_score"]).alias("score"), F.col(names["lang_rejected"]).alias("rejected"))
+
+
+@query("op11_whitening")
+def whitening(spark: SparkSession, folder: str) -> DataFrame:
+    done = whiten(table(spark, folder, "embeddings"))
+    return done.select(F.col("key").alias("vec_id"), "component", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"),
+                       "whitened", "explained", "identity_error")
+
+
+@query("op12_jaccard_join")
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return near_sets(table(spark, folder, "documents")).select(
+        F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+@query("op13_spelling_variants")
+def variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
