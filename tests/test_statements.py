@@ -1,4 +1,5 @@
-from quorumql.operators.statements import run_statements
+from quorumql.operators import statements as statements_module
+from quorumql.operators.statements import describe_error, run_statements
 
 
 def test_capped_rows_errors_and_order(spark):
@@ -69,3 +70,57 @@ def test_equal_texts_of_two_databases(spark):
     statements = spark.createDataFrame(rows, "db_id string, copy int, sql string")
     _, results = run_statements(statements, database="db_id", sessions=session)
     assert sorted((r.db_id, r.copy, r.cells[0]) for r in results.collect()) == [(db, c, f"s:{db}") for db in ("x", "y") for c in (0, 1)]
+
+
+def _same(spark, texts, **options):
+    """Rows and outcomes without times, by name."""
+    executions, results = run_statements(spark.createDataFrame(texts, "name string, sql string"), **options)
+    rows = {}
+    for r in results.orderBy("name", "row_pos").collect():
+        rows.setdefault(r.name, []).append((r.row_pos, r.cells))
+    return {r.name: (r.error, r.error_condition, r.row_count, r.truncated, r.columns) for r in executions.collect()}, rows
+
+
+def test_batches_give_what_each_text_gives_alone(spark):
+    texts = [(f"good{i:04}", f"SELECT id % {i % 7 + 2} AS k, count(*) AS n FROM range({i + 1}) GROUP BY 1 ORDER BY 2 DESC, 1") for i in range(14)]
+    texts += [(f"plain{i}", f"SELECT {i} AS a, 'x' AS b, 1.5D AS c") for i in range(6)]
+    texts += [("zero", "SELECT 1/0"), ("late", "SELECT 1 / (id - 5) FROM range(10)"), ("cast", "SELECT cast(concat('a', id DIV 10) AS int) FROM range(3)"), ("gone", "SELECT nope FROM range(1)"),
+              ("open", "SELECT (1"), ("empty", "SELECT 1 AS x WHERE false"), ("blank", " "), ("same", "SELECT 1/0"), ("many", "SELECT id FROM range(50) ORDER BY id DESC")]
+    together = _same(spark, texts, max_rows=10, workers=3)
+    alone = _same(spark, texts, max_rows=10, batch=1)
+    assert together == alone
+    assert [r[0] for r in together[1]["many"]] == list(range(10)) and together[1]["many"][0][1] == ["d:49"]
+    assert {n for n, e in together[0].items() if e[0]} == {"zero", "late", "cast", "gone", "open", "same", "blank"}
+
+
+def test_a_thousand_texts_are_few_jobs(spark, monkeypatch):
+    written = []
+    real = statements_module._write_together
+
+    def counting(own, texts, folder, timeout_s):
+        written.append((len(texts), folder))
+        return real(own, texts, folder, timeout_s)
+
+    monkeypatch.setattr(statements_module, "_write_together", counting)
+    texts = [(f"t{i}", f"SELECT {i} AS x") for i in range(1000)]
+    executions, results = run_statements(spark.createDataFrame(texts, "name string, sql string"), timeout_s=300, workers=2)
+    assert len(written) <= 20 and sum(n for n, _ in written) == 1000 and len({f for _, f in written}) <= 2
+    assert {(r.name, r.cells[0]) for r in results.collect()} == {(f"t{i}", f"d:{i}") for i in range(1000)}
+    assert executions.where("error IS NULL AND row_count = 1").count() == 1000
+
+
+def test_a_slow_text_does_not_take_others_with_it(spark):
+    slow = "SELECT sum(sqrt(id)) AS s FROM range(0, 100000000000, 1, 20000)"
+    texts = [(f"t{i}", f"SELECT {i} AS x") for i in range(12)] + [("slow", slow)]
+    outcomes, rows = _same(spark, texts, timeout_s=4, workers=1)
+    assert "deadline" in outcomes.pop("slow")[0]
+    assert all(e[0] is None for e in outcomes.values()) and len(rows) == 12
+
+
+def test_error_texts_keep_what_stands_in_the_statement(spark):
+    texts = [("a", "SELECT `a#1` FROM range(1)"), ("b", "SELECT `a#2` FROM range(1)"), ("c", "SELECT `a#2` FROM range(1)"), ("d", "SELECT id, count(*) FROM range(3)")]
+    first, _ = _same(spark, texts)
+    again, _ = _same(spark, texts)
+    assert first == again
+    assert "a#1" in first["a"][0] and "a#2" in first["b"][0] and first["a"][0] != first["b"][0] and first["b"] == first["c"]
+    assert describe_error(Exception("no column id#12L in x#3"), "SELECT `x#3`")[0] == "no column id in x#3"
