@@ -47,6 +47,30 @@ def _read_examples_array(spark, folder):
     return read_examples(spark, path, "json_arrays").select("index", "question_id", "db_id", "question", "gold_sql", "difficulty")
 
 
+#: Signs that an array's structure is made of, and escapes, inside strings.
+AWKWARD = '}, {"a\\": [1] ' + "\\"
+
+
+@query("read_examples_one_array", f"""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS "index", o_orderkey AS question_id,
+'db_' || o_custkey % 11 AS db_id, o_orderpriority || '{AWKWARD}' || o_orderstatus AS question, '' AS evidence,
+'SELECT "{{' || o_orderkey || '"' AS gold_sql, CASE WHEN o_orderkey % 2 = 0 THEN '{AWKWARD}' ELSE 'unknown' END AS difficulty FROM orders""")
+def _read_examples_one_array(spark, folder):
+    # All of orders as one JSON array in one file, which a single task writes record by record; many tasks read it.
+    path = new_folder(spark, "examples-one-array")
+    orders = inputs.table(spark, folder, "orders")
+    record = F.struct(
+        F.col("o_orderkey").alias("question_id"), F.concat(F.lit("db_"), F.col("o_custkey") % 11).alias("db_id"),
+        F.concat("o_orderpriority", F.lit(AWKWARD), "o_orderstatus").alias("question"),
+        F.concat(F.lit('SELECT "{'), "o_orderkey", F.lit('"')).alias("SQL"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit(AWKWARD)).alias("difficulty"))
+    least = orders.agg(F.min("o_orderkey")).first()[0]
+    lines = orders.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") == F.lit(least), "[").otherwise(","), F.to_json(record)).alias("value"))
+    end = spark.createDataFrame([(None, "]")], "o_orderkey bigint, value string")
+    ordered = lines.unionByName(end).orderBy(F.asc_nulls_last("o_orderkey"))
+    ordered.select("value").coalesce(1).write.option("lineSep", " ").text(path)
+    return read_examples(spark, path)
+
+
 @query("filter_by_db", f"WITH {EXAMPLES_SQL} SELECT \"index\", db_id FROM examples WHERE db_id = 'db_4'")
 def _filter_by_db(spark, folder):
     return selection.filter_by_db(inputs.examples(spark, folder), "db_4").select("index", "db_id")
