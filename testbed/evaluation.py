@@ -376,6 +376,32 @@ def _stream_progress(spark, folder):
         F.round("executable_rate", 6).alias("executable_rate"))
 
 
+@query("stream_running_accuracy", """WITH placed AS (
+  SELECT user_id AS run_id, row_number() OVER w AS completed, count(*) OVER (PARTITION BY user_id) AS n,
+         count(*) FILTER (WHERE event_type = 'purchase') OVER w AS exec_matches, count(*) FILTER (WHERE event_type <> 'error') OVER w AS executables
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT run_id, completed, exec_matches, executables, round(exec_matches / completed, 6) AS exec_acc, round(executables / completed, 6) AS executable_rate
+FROM placed WHERE completed % 10 = 0 OR completed = n""")
+def _stream_running_accuracy(spark, folder):
+    # The events arrive in three parts by their number; the query is ended after the first and goes on from its checkpoint.
+    own = progress.keyed_state_session(spark)
+    flags = inputs.predictions(own, folder)
+    flags = flags.join(flags.groupBy("run_id").agg(F.count(F.lit(1)).alias("expected")), "run_id")
+    cuts = flags.agg(F.percentile_approx("index", F.array(F.lit(0.3), F.lit(0.7)))).first()[0] or []
+    arriving, out, state = (new_folder(spark, f"running-accuracy-{n}") for n in ("in", "out", "state"))
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col("index") > F.lit(cut)).cast("int")
+    for i in range(len(cuts) + 1):
+        flags.where(part == i).write.mode("append").parquet(arriving)
+        if i != 1:
+            stream = own.readStream.schema(flags.schema).parquet(arriving)
+            progress.stream_running_accuracy(stream, out, 10, checkpoint=state).awaitTermination()
+    told = progress.read_running_accuracy(spark, out)
+    return told.select("run_id", "completed", "exec_matches", "executables", F.round("exec_acc", 6).alias("exec_acc"),
+                       F.round("executable_rate", 6).alias("executable_rate"))
+
+
 @query("k_accuracy_curve", f"""WITH {SAMPLES_SQL},
 dense AS (SELECT idx, outcome, row_number() OVER (PARTITION BY idx ORDER BY sample_index) - 1 AS s FROM samples),
 per_k AS (SELECT k.k, idx, outcome, count(*) AS n, min(s) AS first FROM dense JOIN (VALUES (1), (2), (4), (8)) k(k) ON s < k.k GROUP BY ALL),

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quorumql.session import freeze, new_folder, scratch, shared_folder
 from quorumql.sources.sqlite import ingest_sqlite, list_tables, read_sqlite
-from quorumql.streaming.progress import read_progress, stream_progress
+from quorumql.operators.metrics import running_accuracy
+from quorumql.streaming.progress import (
+    keyed_state_session, read_progress, read_running_accuracy, stream_progress, stream_running_accuracy)
 
 
 def make_file(path, rows=5000):
@@ -110,3 +112,23 @@ def test_scratch_removes_its_folders_alone(spark):
         assert new_folder(spark, "x").startswith(shared_folder(spark))
     assert kept.count() == 3
     assert not os.path.exists(gone.replace("//", "/"))
+
+
+def test_running_accuracy_of_a_stream_equals_the_batch_one(spark, tmp_path):
+    own = keyed_state_session(spark)
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows = [(i * 7 % 3 if i < 90 else 3, i, None if i % 11 == 0 else i % 2 == 0, i % 5 != 0) for i in range(100)]
+    flags = own.createDataFrame(rows, "run_id long, index long, exec_match boolean, executable boolean")
+    whole = flags.join(flags.groupBy("run_id").agg(F.count("*").alias("expected")), "run_id")
+    expected = {tuple(r) for r in running_accuracy(flags, 7).collect()}
+    for low, high in ((0, 40), (40, 41), (41, 100)):  # each part in a query of its own, from the same checkpoint
+        whole.where((F.col("index") >= low) & (F.col("index") < high)).repartition(3).write.mode("append").parquet(source)
+        stream = own.readStream.schema(whole.schema).parquet(source)
+        stream_running_accuracy(stream, out, 7, checkpoint=state).awaitTermination()
+    told = read_running_accuracy(spark, out).collect()
+    assert {(r.run_id, r.completed, r.exec_acc, r.executable_rate) for r in told} == expected and len(told) == len(expected)
+    assert len({r.batch_id for r in told}) > 1
+    with pytest.raises(ValueError, match="RocksDB"):
+        stream_running_accuracy(spark.readStream.schema(whole.schema).parquet(source), out)
+    with pytest.raises(ValueError, match="positive"):
+        stream_running_accuracy(stream, out, 0)
