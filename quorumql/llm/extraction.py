@@ -32,7 +32,7 @@ from quorumql.llm.dom import INLINE, Page, joined, read_page
 TAGS, NAMES, LENGTHS, LINKS = 256, 2048, 8, 4
 SIZE = TAGS + NAMES + LENGTHS + LINKS
 #: Blocks that mostly share the state of what holds them; other block elements are containers.
-PLAIN_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table thead tbody tfoot tr td th figure figcaption img br hr caption".split())
+PLAIN_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre xmp table thead tbody tfoot tr td th figure figcaption img br hr caption".split())
 NAME_WORDS = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 

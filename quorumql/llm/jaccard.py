@@ -13,10 +13,11 @@ shingles hashed into d + 1 bands, linked sets agree in one whole band at least.
 the band), in their own size class and in the class below, which a smaller partner may lie in. Lists of one set are
 dropped; inside a list the tree does the search. No link is lost, whatever the table.
 
-Equal sets are one node. Rounds work through the lists in windows of places (0; 1-7; 8-63; ...): everybody is compared
+Equal sets are one node. Rounds work through the lists in windows of places (0; 1-15; 16-255; ...): everybody is compared
 with the window's members unless both already belong to one component, so a large group of near copies is mostly joined
-by its first members and costs a number of verifications in proportion to its size. Beyond ``WINDOW`` places a list is
-dealt into blocks, and only members outside its most frequent component are compared with all of them.
+by its first members and costs a number of verifications in proportion to its size. A round's links join the components
+of the rounds before. Beyond the last window a list is dealt into blocks, and only members outside its most frequent
+component are compared with all of them.
 
 Defined results: a null text, an empty one and one without words have an empty set and link with nothing, so each is its
 own component; fewer words than a shingle make one shingle of all words. Null keys are ignored when the smallest key of a
@@ -42,11 +43,13 @@ from quorumql.session import freeze
 
 WORDS, NUM, DEN, SEED = 3, 90, 100, 42
 GROUPS, LEAF = 64, 16
-#: First places of a list that are compared in windows; pairs that one step of the tree bounds.
-WINDOW, WINDOWS, PAIRS = 4096, (1, 8, 64, 512, 4096), 1 << 15
+#: Ends of the windows of places in a list, the last also the size of the blocks beyond; pairs that one step of the tree bounds.
+WINDOWS, PAIRS = (1, 16, 256, 4096), 1 << 15
+#: A candidate pair and the components that its nodes are in so far.
+PAIR = ["a", "b", "from_a", "from_b"]
 #: Bits of the filter that says which sets are needed again: 4 MB, whatever the table.
 FILTER_BITS = 1 << 25
-#: Digests that a task keeps to return a set that repeats only once.
+#: Hashes of texts that a task keeps to return a set that repeats only once.
 SEEN = 200_000
 
 
@@ -177,21 +180,27 @@ def points_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(held), np.uint32).reshape(len(held), -1)
 
 
+def text_mark(text: str | None) -> int:
+    """A signed hash of the text as it stands, quick to work out."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass"))).view(np.int64))
+
+
 def described(docs: DataFrame, text: str, key: str, words: int, num: int, den: int) -> DataFrame:
-    """Key, set size, digest and band keys of each row, written once."""
+    """Key, set size, digest, hash of the text and band keys of each row, written once."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
+        texts = part.column("text").to_pylist()
+        sets = [shingle_set(t, words) for t in texts]
         marks = [digest(s) for s in sets]
         bands = [band_keys(s, num, den) for s in sets]
         offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([
             part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["key", "n", "d1", "d2", "bands"])
+            pa.array([text_mark(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["key", "n", "d1", "d2", "mark", "bands"])
 
-    schema = T.StructType([rows.schema["key"], *T._parse_datatype_string("n long, d1 long, d2 long, bands array<long>").fields])
+    schema = T.StructType([rows.schema["key"], *T._parse_datatype_string("n long, d1 long, d2 long, mark long, bands array<long>").fields])
     return freeze(map_texts(rows, "text", step, schema), "described")
 
 
@@ -223,35 +232,35 @@ def posting_lists(nodes: DataFrame) -> DataFrame:
 
 
 def member_sets(docs: DataFrame, text: str, members: DataFrame, words: int) -> DataFrame:
-    """(id, n, shingles, point) of the nodes ``members`` (id, n, d1, d2), worked out anew from the texts.
+    """(id, n, shingles, point) of the nodes ``members`` (id, n, d1, d2, mark), worked out anew from the texts.
 
-    A filter of a fixed number of bits over the digests lets most other documents go inside their tasks; what it lets
-    pass wrongly goes in the join.
+    ``mark`` is the hash of one of the texts that have the set. A filter of a fixed number of bits over the marks lets
+    most other documents go inside their tasks before their shingles are made; what passes wrongly goes in the join.
     """
-    at = F.col("d1").bitwiseAND(F.lit(FILTER_BITS - 1))
-    bits = members.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(d1 & 63 as int))").alias("bit"))
+    at = F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = members.select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit"))
     words_set = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(FILTER_BITS >> 6, np.int64)
     table[words_set["word"].to_numpy(np.int64)] = words_set["bits"].to_numpy(np.int64)
     table = table.view(np.uint64)
-    seen: set[tuple[int, int]] = set()
+    seen: set[int] = set()
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         for t in part.column("text").to_pylist():
-            own = shingle_set(t, words)
-            mark = digest(own)
-            place = mark[0] & (FILTER_BITS - 1)
+            mark = text_mark(t)
+            place = mark & (FILTER_BITS - 1)
             if int(table[place >> 6]) >> (place & 63) & 1 and mark not in seen:
                 if len(seen) > SEEN:
                     seen.clear()
                 seen.add(mark)
-                out.append((len(own), *mark, own.tobytes(), group_counts(own).tobytes()))
+                own = shingle_set(t, words)
+                out.append((len(own), *digest(own), own.tobytes(), group_counts(own).tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["n", "d1", "d2", "shingles", "point"])
 
     found = map_texts(docs.select(F.col(text).alias("text")), "text", step, "n long, d1 long, d2 long, shingles binary, point binary")
-    joined = found.join(members, ["n", "d1", "d2"]).select("id", "n", "shingles", "point").dropDuplicates(["id"])
+    joined = found.join(members.drop("mark"), ["n", "d1", "d2"]).select("id", "n", "shingles", "point").dropDuplicates(["id"])
     return freeze(joined, "sets")
 
 
@@ -262,7 +271,7 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
     window are held, the others pass by.
     """
 
-    def pairs(window: dict, more: dict, within: bool) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(window: dict, more: dict, within: bool) -> np.ndarray:
         w, m = len(window["id"]), len(more["id"])
         if w * m <= 4096:
             i, j = np.divmod(np.arange(w * m), m) if m else (np.zeros(0, np.int64),) * 2
@@ -270,7 +279,7 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
             kept &= window["label"][i] != more["label"][j]
             i, j = i[kept], j[kept]
             kept = close_enough(window["point"], window["n"], more["point"], more["n"], i, j, num, den)
-            return window["id"][i[kept]], more["id"][j[kept]]
+            return made(window, more, i[kept], j[kept])
         if (window["label"] == window["label"][0]).all():
             away = np.flatnonzero(more["label"] != window["label"][0])
             more = {k: v[away] for k, v in more.items()}
@@ -278,7 +287,10 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
             window["tree"] = CountTree(window["point"], window["n"])
         asked, found = window["tree"].search(more["point"], more["n"], num, den)
         kept = window["label"][found] != more["label"][asked]
-        return window["id"][found[kept]], more["id"][asked[kept]]
+        return made(window, more, found[kept], asked[kept])
+
+    def made(one: dict, two: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.stack([one["id"][i], two["id"][j], one["label"][i], two["label"][j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window, band = None, None
@@ -287,7 +299,7 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
                 continue
             cols = {c: batch.column(c).to_numpy() for c in ("band", "place", "id", "n", "label")} | {"point": points_of(batch.column("point"))}
             starts = np.flatnonzero(np.append(True, np.diff(cols["band"]) != 0))
-            out = [], []
+            out = [np.zeros((4, 0), np.int64)]
             for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
                 own = {k: v[a:b] for k, v in cols.items()}
                 if own["band"][0] != band:
@@ -296,25 +308,17 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
                 now = {k: v[inside] for k, v in own.items() if k != "band"}
                 rest = {k: v[~inside] for k, v in own.items() if k != "band"}
                 if len(now["id"]):
+                    out.append(pairs(now, now, True))
                     if window is not None:  # the window's members came in several batches
-                        for x in pairs(window, now, False), pairs(now, now, True):
-                            out[0].append(x[0])
-                            out[1].append(x[1])
-                        window = {k: np.concatenate([window[k], now[k]]) for k in now}
-                    else:
-                        window = now
-                        x = pairs(now, now, True)
-                        out[0].append(x[0])
-                        out[1].append(x[1])
+                        out.append(pairs(window, now, False))
+                        now = {k: np.concatenate([window[k], now[k]]) for k in now}
+                    window = now
                 if len(rest["id"]) and window is not None:
-                    x = pairs(window, rest, False)
-                    out[0].append(x[0])
-                    out[1].append(x[1])
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    out.append(pairs(window, rest, False))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], PAIR)
 
     together = rows.select("band", "place", "id", "n", "label", "point").repartition("band").sortWithinPartitions("band", "place")
-    return together.mapInArrow(run, "a long, b long").filter("a < b").distinct()
+    return together.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
 
 
 def block_pairs(rows: DataFrame, window: int, num: int, den: int) -> DataFrame:
@@ -329,20 +333,21 @@ def block_pairs(rows: DataFrame, window: int, num: int, den: int) -> DataFrame:
 
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in PAIR})
         points = [np.frombuffer(b"".join(x["point"]), np.uint32).reshape(len(x), -1) for x in (one, two)]
         asked, found = CountTree(points[0], one["n"].to_numpy()).search(points[1], two["n"].to_numpy(), num, den)
-        kept = one["label"].to_numpy()[found] != two["label"].to_numpy()[asked]
-        a, b = one["id"].to_numpy()[found[kept]], two["id"].to_numpy()[asked[kept]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        found, asked = one.iloc[found], two.iloc[asked]
+        made = pd.DataFrame(dict(zip(PAIR, (x[c].to_numpy() for c in ("id", "label") for x in (found, asked)))))
+        return made[made["from_a"] != made["from_b"]]
 
     keys = ["band", "l", "r"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # both come from the same rows
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long").distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, ", ".join(f"{c} long" for c in PAIR))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets link."""
+    """The pairs whose sets link, each once."""
+    ordered = pairs.select(*(F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in zip(PAIR, ("b", "a", "from_b", "from_a"))))
     one, two = (sets.select(F.col("id").alias(name), F.col("shingles").alias(f"set_{name}")) for name in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +357,10 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = len(np.intersect1d(p, q, assume_unique=True))
                 kept.append(shared * den >= num * (len(p) + len(q) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            yield batch.select(PAIR).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    joined = ordered.distinct().join(one, "a").join(two, "b").select(*PAIR, "set_a", "set_b")
+    return joined.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
 
 
 def linked_nodes(docs: DataFrame, text: str, nodes: DataFrame, words: int, num: int, den: int, windows: tuple[int, ...]) -> DataFrame | None:
@@ -363,10 +369,10 @@ def linked_nodes(docs: DataFrame, text: str, nodes: DataFrame, words: int, num:
     sizes = lists.agg(F.max("place")).first()[0]
     if sizes is None:
         return None
-    members = lists.select("id").distinct().join(nodes.select("id", "n", "d1", "d2"), "id")
+    members = lists.select("id").distinct().join(nodes.select("id", "n", "d1", "d2", "mark"), "id")
     sets = member_sets(docs, text, members, words)
     lists = freeze(lists.join(sets.select("id", "n", "point"), "id").select("band", "place", "id", "n", "point"), "points")
-    links, labels, low = None, None, 0
+    labels, low = None, 0
     for high in (*windows, None):
         if low > sizes:
             break
@@ -377,8 +383,12 @@ def linked_nodes(docs: DataFrame, text: str, nodes: DataFrame, words: int, num:
             rows = rows.join(labels, rows.id == labels.node, "left").withColumn("label", F.coalesce("root", "id")).drop("node", "root")
         pairs = window_pairs(rows, high, num, den) if high else block_pairs(rows, low, num, den)
         found = freeze(verified(pairs, sets, num, den), "near")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        joined = components(found.select(F.col("from_a").alias("a"), F.col("from_b").alias("b")))
+        if labels is None:
+            labels = joined
+        else:
+            further = joined.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            labels = freeze(labels.join(further, "root", "left").select("node", F.coalesce("next", "root").alias("root")).unionByName(joined), "labels")
         low = high
     return labels
 
@@ -387,7 +397,7 @@ def near_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", words: i
               windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(key, n_shingles, component) of each row of ``docs``; the component is named by its smallest key."""
     rows = described(docs, text, key, words, num, den)
-    known = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("least"), F.first("bands").alias("bands"))
+    known = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.first("bands").alias("bands"))
     nodes = freeze(known.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
     roots = linked_nodes(docs, text, nodes, words, num, den, windows)
     marked = nodes.select("id", "n", "d1", "d2", "least")

@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -168,6 +169,22 @@ def test_extraction_leaves_out_what_is_not_the_article(tree_model):
     assert tree_model.texts([html]) == ["Title & more First part. Second part."]
 
 
+def test_formulas_drawings_and_listings_reach_the_model(tree_model):
+    article = "<article><h1>Title</h1><p>A{}</p><p>rest of the story</p></article>"
+    for inner, text in (("<svg><path></p><p>B", "A B"), ("<svg><path d=x/><text>in</text></svg> B", "Ain B"), (" <math><mi>x</mi><mo>=</mo><mn>1</mn></math> B", "A x=1 B"),
+                        ("<math><mi>x", "Ax"), ("<svg/>B", "AB"), ("</p><xmp>a <b>&amp;</b></xmp><p>B", "A a <b>&amp;</b> B"), ("</p><xmp>open", "A open</p><p>rest of the story</p></article>")):
+        found = tree_model.texts([article.format(inner)])[0]
+        assert found == ("Title " + text + ("" if "open" in inner else " rest of the story")), inner
+    assert tree_model.texts(["<p>A<svg><path></p><p>rest of the story"]) == ["A rest of the story"]
+
+
+def test_pages_are_read_in_linear_time():
+    started = time.perf_counter()
+    assert len(read_page("<b>" * 50_000 + "</i>" * 100_000).tag) == 50_001
+    assert len(read_page("<p><table>" + "<b>" * 30_000 + "<div>" * 30_000 + "x<" * 100_000).tag) == 60_004
+    assert time.perf_counter() - started < 5
+
+
 def test_messages_give_exact_marginals():
     rng = np.random.default_rng(3)
     page = read_page("<div><p>a<b>b</b></p><ul><li>c</ul></div><nav>d</nav>")
@@ -199,7 +216,8 @@ def test_labelled_pages_left_out_of_training(tree_model):
 
 def test_licences(spark, documents):
     model = licences.train_licence_model(documents)
-    marks = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "GPL-3.0": "General Public License, version 3", "CC-BY-NC-4.0": "CC BY-NC 4.0"}
+    marks = {"MIT": "MIT License", "Apache-2.0": "Apache License, Version 2.0", "GPL-3.0": "General Public License, version 3", "CC-BY-NC-4.0": "CC BY-NC 4.0",
+             "Proprietary": "All rights reserved."}
     expected = {}
     for row in documents.select("doc_id", "text").collect():
         expected[row.doc_id] = ",".join(sorted(f for f, mark in marks.items() if mark in (row.text or ""))) or None
