@@ -6,14 +6,16 @@ on a few random normal directions (a 2-stable distribution); for two points at d
 distance over d*d follows a chi-square distribution with as many degrees of freedom as there are directions.
 
 A kd-tree over the projections, its cuts set on a bounded sample, deals all rows into cells; inside a cell a second tree
-deals them into leaves. A query visits leaves by growing projected distance and verifies their vectors with the exact
-measure. It stops once a point that is nearer than the k-th best found would, with probability ``sure``, have been met
-at a smaller projected distance than that of the next leaf. This happens in two rounds, each a grouped job: the query's
-own cell, which gives a bound; then all cells that the test with this bound leaves over.
+deals them into leaves. A query takes its points by growing projected distance, its nearest ones first and then shell by
+shell, and verifies their vectors with the exact measure; leaves whose box lies outside the radius are not looked at, and
+points outside it are not verified. The radius is that within which a point nearer than the k-th best found would, with
+probability ``sure``, have been met already; it shrinks with every shell. This happens in two rounds, each a grouped
+job: the query's own cell, which gives a bound; then all cells that the test with this bound leaves over.
 
 Every row is indexed. Cells with more rows or queries than a block holds are dealt into blocks, so no task holds more
-than a block of either whatever the data look like. Vectors that are null, empty, zero, of another length than
-``width``, or that hold null or non-finite components take no part.
+than a block of either whatever the data look like; the table of cell sizes is broadcast, which has ``MOST_CELLS`` rows
+at most. Vectors that are null, empty, zero, or that hold null or non-finite components take no part, nor do those of
+another length than the most frequent one (ties: the longer). Of a query key that repeats, the smallest vector asks.
 """
 
 from __future__ import annotations
@@ -30,15 +32,17 @@ from pyspark.sql.window import Window
 
 from quorumql.session import freeze
 
-DIRECTIONS, SURE, LEAF = 8, 0.70, 64
+DIRECTIONS, SURE, LEAF = 24, 0.92, 64
+#: Shares of the squared radius at which a shell ends, queries taken at a time, and pairs verified at a time.
+SHELLS, CHUNK, PAIRS = (0.4, 0.7, 1.0), 128, 1 << 16
 #: Rows in a cell at which the tree is cut further, cells at most, and rows of the sample that sets the cuts.
 CELL, MOST_CELLS, SAMPLE = 4096, 4096, 20_000
 #: Rows and queries at most that one task compares.
 BLOCK, QUERY_BLOCK = 16_384, 2048
 
 
-def usable(vector: Column, width: int) -> Column:
-    return (F.size(vector) == width) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
+def usable(vector: Column) -> Column:
+    return (F.size(vector) > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
 
 
 def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
@@ -47,6 +51,15 @@ def chi_square(x: np.ndarray, freedom: int) -> np.ndarray:
     return 1 - np.exp(-half) * sum(half**i / factorial(i) for i in range(freedom // 2))
 
 
+def chi_square_limit(share: float, freedom: int) -> float:
+    """The value that ``share`` of the distribution lies below."""
+    low, high = 0.0, 20.0 * freedom + 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(np.float64(middle), freedom) < share else (low, middle)
+    return high
+
+
 @dataclass
 class Tree:
     """Cuts of a kd-tree in heap order, and the boxes of its cells."""
@@ -112,44 +125,76 @@ def stacked(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), dtype=np.float64)
 
 
-def products(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Inner products, summed in the same order wherever a pair is met."""
-    return (vectors * query).sum(axis=1)
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of paired rows, summed in the same order wherever a pair is met."""
+    return (left * right).sum(axis=1)
+
 
+def keep_best(query: np.ndarray, score: np.ndarray, found: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query, ties to the smaller id; sorted by query, best first."""
+    order = np.lexsort((found, -score, query))
+    query, score, found = query[order], score[order], found[order]
+    first = np.maximum.accumulate(np.where(np.append(True, np.diff(query) != 0), np.arange(len(query)), 0)) if len(query) else query
+    kept = np.arange(len(query)) - first < k
+    return query[kept], score[kept], found[kept]
 
-def search_block(space: Space, rows: pd.DataFrame, queries: pd.DataFrame, k: int, sure: float) -> Iterator[tuple]:
-    """The k best rows of a block for each query, by leaves of a tree of the block, with the test and the query's bound."""
+
+def search_block(space: Space, rows: pd.DataFrame, queries: pd.DataFrame, k: int, sure: float, seen: list | None = None) -> Iterator[pd.DataFrame]:
+    """The k best rows of a block for each query, shell by shell, with the test and the query's bound.
+
+    ``seen`` gets the number of verified pairs and of all pairs.
+    """
     vectors, ids = stacked(rows["vector"]), rows["id"].to_numpy()
     points = space.lifted(vectors, query=False)
     depth = max(0, int(np.ceil(np.log2(max(1, len(points) / LEAF)))))
-    leaf = Tree.fit(points, depth, points.shape[1]).cells(points)
+    tree = Tree.fit(points, depth, points.shape[1])
+    leaf = tree.cells(points)
     order = np.argsort(leaf, kind="stable")
     vectors, points, ids, leaf = vectors[order], points[order], ids[order], leaf[order]
     starts = np.flatnonzero(np.append(True, np.diff(leaf) != 0))
-    ends = np.append(starts[1:], len(leaf))
+    inside = np.cumsum(np.append(0, np.diff(leaf) != 0))  # place of each point's leaf
     low, high = np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
-    own = stacked(queries["vector"])
-    away = box_distances(space.lifted(own, query=True), low, high)
-    length = (own * own).sum(axis=1)
-    for q, (name, bound) in enumerate(zip(queries["id"], queries["bound"])):
-        order = np.argsort(away[q], kind="stable")
-        score, found, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 1
-        worst = bound
-        while at < len(order):
-            reach = away[q][order[at]] / max(float(space.squared_distance(np.float64(worst), length[q])), 1e-12) if np.isfinite(worst) else 0.0
-            if reach > 0 and chi_square(np.float64(reach), space.directions.shape[1]) >= sure:
-                break
-            taken = np.concatenate([np.arange(starts[i], ends[i]) for i in order[at : at + step]])
-            at, step = at + step, min(2 * step, 16)
-            taken = taken[ids[taken] != name]
-            score = np.concatenate([score, products(vectors[taken], own[q])])
-            found = np.concatenate([found, ids[taken]])
-            best = np.lexsort((found, -score))[:k]
-            score, found = score[best], found[best]
-            if len(score) == k:
-                worst = max(worst, score[-1])
-        for s, i in zip(score, found):
-            yield int(name), int(i), float(s)
+    limit = chi_square_limit(sure, space.directions.shape[1])
+    all_own = stacked(queries["vector"])
+    all_projected = space.lifted(all_own, query=True)
+    near = np.argsort(tree.cells(all_projected), kind="stable")  # queries of one leaf look at the same points
+    for at in range(0, len(near), CHUNK):
+        chunk = near[at : at + CHUNK]
+        own, projected, names = all_own[chunk], all_projected[chunk], queries["id"].to_numpy()[chunk]
+        worst, length = queries["bound"].to_numpy()[chunk].astype(np.float64), (own * own).sum(axis=1)
+
+        def radius() -> np.ndarray:
+            return np.where(np.isfinite(worst), limit * space.squared_distance(np.where(np.isfinite(worst), worst, 0), length), np.inf)
+
+        open_ = (box_distances(projected, low, high) <= radius()[:, None]).any(axis=0)
+        place = np.flatnonzero(open_[inside])
+        if not len(place):
+            continue
+        taken = points[place]
+        away = np.maximum((taken * taken).sum(axis=1) + (projected * projected).sum(axis=1)[:, None] - 2 * (projected @ taken.T), 0)
+        away[names[:, None] == ids[place]] = np.inf
+        best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        done = np.zeros(away.shape, bool)
+        first = min(4 * k, len(place) - 1)
+        reach = np.partition(away, first, axis=1)[:, first]
+        for share in (None, *SHELLS):
+            now = np.minimum(reach, radius()) if share is None else share * radius()
+            wanted = (away <= now[:, None]) & ~done & (away < np.inf)
+            done |= wanted
+            i, j = np.nonzero(wanted)
+            if seen is not None:
+                seen.append(len(i))
+            score = np.empty(len(i))
+            for p in range(0, len(i), PAIRS):
+                part = slice(p, p + PAIRS)
+                score[part] = products(vectors[place[j[part]]], own[i[part]])
+            good = score >= worst[i]
+            best = keep_best(*(np.concatenate([b, n]) for b, n in zip(best, (i[good], score[good], ids[place[j[good]]]))), k)
+            count = np.bincount(best[0], minlength=len(chunk))
+            full = count >= k
+            last = np.cumsum(count) - 1
+            worst[full] = np.maximum(worst[full], best[1][last[full]])
+        yield pd.DataFrame({"query_id": names[best[0]], "vec_id": best[2], "score": best[1]})
 
 
 def searched(rows: DataFrame, queries: DataFrame, space: Space, k: int, sure: float) -> DataFrame:
@@ -157,16 +202,16 @@ def searched(rows: DataFrame, queries: DataFrame, space: Space, k: int, sure: fl
     sizes = rows.groupBy("cell").count().withColumnRenamed("count", "n_rows").join(
         queries.groupBy("cell").count().withColumnRenamed("count", "n_queries"), "cell")
     sizes = sizes.select("cell", F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("row_blocks"), F.ceil(F.col("n_queries") / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    dealt_rows = rows.join(sizes, "cell").select(
+    dealt_rows = rows.join(F.broadcast(sizes), "cell").select(
         "cell", F.pmod(F.xxhash64("id", F.lit("row")), F.col("row_blocks")).cast("int").alias("row_block"),
         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("query_block"), "id", "vector")
-    dealt_queries = queries.join(sizes, "cell").select(
+    dealt_queries = queries.join(F.broadcast(sizes), "cell").select(
         "cell", F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("row_block"),
         F.pmod(F.xxhash64("id", F.lit("query")), F.col("query_blocks")).cast("int").alias("query_block"), "id", "vector", "bound")
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = list(search_block(space, left, right, k, sure)) if len(left) and len(right) else []
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        return pd.concat([none, *(search_block(space, left, right, k, sure) if len(left) and len(right) else ())])
 
     keys = ["cell", "row_block", "query_block"]
     return dealt_rows.groupBy(*keys).cogroup(dealt_queries.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double")
@@ -229,17 +274,19 @@ def fit_space(rows: DataFrame, width: int, directions: int = DIRECTIONS, cell: i
     return space
 
 
-def nearest(vectors: DataFrame, queries: Column, k: int, width: int, vector: str = "embedding", key: str = "vec_id",
-            sure: float = SURE, **options) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, k: int, vector: str = "embedding", key: str = "vec_id", sure: float = SURE, **options) -> DataFrame:
     """``k`` rows of the largest inner product for each row for which ``queries`` holds, its own key left out.
 
     Ties go to the smaller key. Rows with a null key take no part.
     """
-    rows = vectors.filter(F.col(key).isNotNull() & usable(F.col(vector), width)).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    rows = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & usable(F.col("vector")))
+    most = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    width = most[0] if most else 1
+    rows = rows.filter(F.size("vector") == width)
     space = fit_space(rows.select("id", "vector"), width, **options)
     indexed = freeze(projected(rows.select("id", "vector"), space), "cells")
-    asked = rows.filter("asks").select("id", "vector").dropDuplicates(["id"]).withColumn("bound", F.lit(float("-inf")))
+    asked = rows.filter("asks").groupBy("id").agg(F.min("vector").alias("vector")).withColumn("bound", F.lit(float("-inf")))
     first = freeze(best(searched(indexed, routed(asked, space, sure, own=True), space, k, sure), k).drop("rank"), "first")
     bounds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth"))
     again = asked.join(bounds, asked.id == bounds.query_id, "left").select(

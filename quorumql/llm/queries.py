@@ -26,7 +26,7 @@ from quorumql.llm.whitening import whiten
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-TOKEN_LIMIT, VECTOR_WIDTH = 4096, 64
+TOKEN_LIMIT = 4096
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -83,7 +83,7 @@ def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_neighbours")
 def neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20, width=VECTOR_WIDTH)
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
 @query("op8_simhash")
