@@ -36,6 +36,8 @@ _NESTED = (T.ArrayType, T.StructType, T.MapType)
 _FAMILIES = {
     "whole": "bigint",
     "exact": "decimal(38,18)",
+    # Digits beyond the shared decimal: what lies below a whole number is kept apart, so that values sort by size.
+    "wide": "struct<whole:decimal(38,0),rest:decimal(38,38),text:string>",
     "real": "double",
     "day": "date",
     "moment": "timestamp_ntz",
@@ -108,9 +110,10 @@ def _family(dtype: T.DataType, value: str) -> tuple[str, str]:
     if isinstance(dtype, T.IntegralType):
         return "whole", f"CAST({value} AS BIGINT)"
     if isinstance(dtype, T.DecimalType):
-        # Wider digits than the shared type holds are kept as text rather than rounded.
-        fits = dtype.precision - dtype.scale <= 20 and dtype.scale <= 18
-        return ("exact", f"CAST({value} AS DECIMAL(38, 18))") if fits else ("other", f"CAST({value} AS STRING)")
+        if dtype.precision - dtype.scale <= 20 and dtype.scale <= 18:
+            return "exact", f"CAST({value} AS DECIMAL(38, 18))"
+        whole = f"CAST(floor({value}) AS DECIMAL(38, 0))"
+        return "wide", f"struct({whole} AS whole, CAST({value} - floor({value}) AS DECIMAL(38, 38)) AS rest, CAST({value} AS STRING) AS text)"
     if isinstance(dtype, T.FractionalType):
         return "real", f"CAST({value} AS DOUBLE)"
     if isinstance(dtype, T.DateType):
@@ -132,7 +135,7 @@ def _slots(used: list[str], family: str | None, value: str = "NULL") -> str:
     Unpivoting gives all structs the type of the first, so a slot must count as nullable even for a column without
     nulls; the CASE makes it so.
     """
-    filled = f"CASE WHEN {value} IS NOT NULL THEN {value} END"
+    filled = f"CASE WHEN {value}{'.text' if family == 'wide' else ''} IS NOT NULL THEN {value} END"
     parts = [f"CAST({filled if f == family else 'NULL'} AS {_FAMILIES[f]}) AS {f}" for f in used]
     return f"struct({', '.join(parts)})"
 
@@ -158,6 +161,7 @@ def _shown(prefix: str, used: list[str]) -> Column:
     forms = {
         "whole": lambda c: c.cast("string"),
         "exact": lambda c: F.rtrim(F.rtrim(c.cast("string"), F.lit("0")), F.lit(".")),
+        "wide": lambda c: c["text"],
         "real": general_format,
         "day": lambda c: c.cast("string"),
         "moment": lambda c: c.cast("string"),
@@ -238,27 +242,37 @@ def column_stats(tables: Tables, max_columns: int = MAX_COLUMNS, measures: Seque
     )
 
 
-def value_frequencies(tables: Tables, max_columns: int = MAX_COLUMNS) -> DataFrame:
-    """Count of every distinct non-null value of every column: the column's key, one typed value, ``freq``.
+def long_values(tables: Tables, max_columns: int = MAX_COLUMNS, only: DataFrame | None = None) -> DataFrame:
+    """Every non-null value of every column: the column's key and one typed value.
 
-    All columns of all tables go through one shuffle, with counts combined before it.
+    ``only`` (db_id, table_name, ordinal), a few rows known to the driver, leaves the other columns unread.
     """
     keyed = _keyed(tables)
     used = _used_families(keyed, max_columns) or ["other"]
+    wanted = None if only is None else {tuple(row) for row in only.select(*KEYS).collect()}
     parts = []
     for db_id, table_name, df in keyed:
-        fields = _visible(df, max_columns)
+        fields = [(i, f) for i, f in enumerate(_visible(df, max_columns)) if wanted is None or (db_id, table_name, i) in wanted]
         if not fields:
             continue
         wide = df.selectExpr(*[
             f"CASE WHEN {_name(f.name)} IS NOT NULL THEN {_slots(used, *_family(f.dataType, _name(f.name)))} END AS `{i}`"
-            for i, f in enumerate(fields)
+            for i, f in fields
         ])
         long = wide.unpivot([], wide.columns, "ordinal", "value").where("value IS NOT NULL")
         parts.append(long.selectExpr(*_key_sql(db_id, table_name), "CAST(ordinal AS INT) AS ordinal", "value.*"))
     if not parts:
         raise ValueError("no columns to profile")
-    return reduce(DataFrame.unionAll, parts).groupBy(*KEYS, *used).agg(F.count(F.lit(1)).alias("freq"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def value_frequencies(tables: Tables, max_columns: int = MAX_COLUMNS, only: DataFrame | None = None) -> DataFrame:
+    """Count of every distinct non-null value of every column: the column's key, one typed value, ``freq``.
+
+    All columns of all tables go through one shuffle, with counts combined before it.
+    """
+    values = long_values(tables, max_columns, only)
+    return values.groupBy(*values.columns).agg(F.count(F.lit(1)).alias("freq"))
 
 
 def distinct_counts(frequencies: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from quorumql.functions.render import render_value
-from quorumql.operators import dictionary, profiling
+from quorumql.operators import dictionary, profiling, sketches
+from quorumql.session import new_folder
 from testbed import inputs
 from testbed.registry import query
 
@@ -124,6 +125,35 @@ def _topk(spark, folder):
     return profiling.top_values(profiling.value_frequencies(_tables(spark, folder)), 3).drop("db_id")
 
 
+@query("profile_topk_summaries", _per_column(lambda t, i, c, k: (
+    f"SELECT * FROM (SELECT '{t}' AS table_name, {i} AS ordinal, CAST(row_number() OVER (ORDER BY count(*) DESC, {c}) AS INTEGER) AS rank, "
+    f"count(*) AS freq, {_rendered(c, k)} AS value FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 3")))
+def _topk_summaries(spark, folder):
+    return sketches.top_values_by_summaries(_tables(spark, folder), 3).drop("db_id")
+
+
+#: The column that deals a table into parts: a month, or a value.
+PARTS = {"events": ("ts", True), "lineitem": ("l_shipdate", True), "orders": ("o_orderdate", True), "customer": ("c_mktsegment", False), "part": ("p_brand", False)}
+
+
+@query("profile_distinct_approx", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS table_name, {i} AS ordinal, count(*) AS row_count, count({c}) AS filled, count(DISTINCT {c}) AS distinct_count, true AS abs_error_ok FROM {t}"
+    for t in PARTS for i, (c, _) in enumerate(SCHEMAS[t])))
+def _distinct_approx(spark, folder):
+    """Sketches by part, the last part of every table added after the others; compared with exact counts."""
+    place = new_folder(spark, "sketches")
+    tables = {t: inputs.table(spark, folder, t) for t in PARTS}
+    for name, (column, dated) in PARTS.items():
+        part = F.date_format(column, "yyyy-MM") if dated else F.col(column)
+        last = tables[name].agg(F.max(part)).first()[0]
+        sketches.add_parts(tables[name].where(part != F.lit(last)), place, name, part)
+        sketches.add_parts(tables[name], place, name, part, only=[last])
+    exact = profiling.distinct_counts(profiling.value_frequencies(tables))
+    both = sketches.approx_distinct(spark, place).join(exact, ["table_name", "ordinal"])
+    close = F.abs(F.col("distinct_estimate") - F.col("distinct_count")) <= F.col("distinct_count") * sketches.error_bound()
+    return both.select("table_name", "ordinal", "row_count", "filled", "distinct_count", close.alias("abs_error_ok"))
+
+
 _DOCUMENT_CLASSES = """SELECT lang, count(*) AS texts, count(*) FILTER (WHERE {0}) AS looking FROM (
   SELECT lang, unnest(string_split(text, ' ')) AS word FROM documents) GROUP BY lang"""
 
