@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quorumql.operators.positions import null_safe_join, with_position
+from quorumql.operators.positions import with_position
+from quorumql.operators.ranks import between_ranks
 
 
 def filter_by_db(examples: DataFrame, db_id: str | None = None) -> DataFrame:
@@ -14,18 +15,13 @@ def filter_by_db(examples: DataFrame, db_id: str | None = None) -> DataFrame:
     return examples.where(F.col("db_id") == db_id) if db_id else examples
 
 
-def _between(placed: DataFrame, offset: int, limit: int | None, name: str = "_place") -> DataFrame:
-    kept = placed.where(F.col(name) >= offset) if offset > 0 else placed
-    return kept if limit is None else kept.where(F.col(name) < max(offset, 0) + limit)
-
-
 def slice_rows(
     df: DataFrame, offset: int = 0, limit: int | None = None, order: Sequence[str] = ("index",)
 ) -> DataFrame:
     """Rows ``offset .. offset+limit`` in order. An offset of 0 or below is ignored, limit None takes all, 0 none.
 
-    The order columns must identify a row, null being a value like any other and the first: only they are sorted, and
-    the slice is read back by a semi-join.
+    The order columns must identify a row, null being a value like any other and the first. The keys at both ends are
+    found by counting, and the slice is a filter between them: nothing is sorted.
     """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
@@ -33,8 +29,7 @@ def slice_rows(
         return df
     if limit == 0:
         return df.where(F.lit(False))
-    placed = with_position(df.select(*order), order, "_place")
-    return null_safe_join(df, _between(placed, offset, limit), order, "left_semi")
+    return between_ranks(df, order, max(offset, 0), None if limit is None else max(offset, 0) + limit)
 
 
 def slice_strict(df: DataFrame, offset: int, limit: int, order: Sequence[str] = ("index",)) -> DataFrame:
@@ -82,29 +77,20 @@ def train_eval_split(
     """
     if train_offset < 0 or (eval_offset is not None and eval_offset < 0):
         raise ValueError("an offset cannot lie before the first row")
-    if seed is None:
-        placed = with_position(examples, [key], "_place", key=[key])
-    else:
-        placed = seeded_shuffle(examples, seed, key, "_place")
+    order = [F.col(key)] if seed is None else [shuffle_key(seed, key), F.col(key)]
     train_stop = train_offset + train_limit if train_limit > 0 else None
     # Without an explicit start, eval begins where train really ends; past the last row both are empty anyway.
-    if eval_offset is None:
-        eval_start = train_stop
-    else:
-        eval_start = eval_offset
-
-    def part(label: str, start: int, stop: int | None) -> Column:
-        place = F.col("_place")
-        inside = place >= start if stop is None else (place >= start) & (place < stop)
-        return F.when(inside, F.struct(F.lit(label).alias("split"), (place - start).alias("position")))
-
-    tags = [part("train", train_offset, train_stop)]
-    if eval_start is not None:
-        tags.append(part("eval", eval_start, eval_start + eval_limit if eval_limit > 0 else None))
-    return (
-        placed.withColumn("_tag", F.explode(F.filter(F.array(*tags), lambda t: t.isNotNull())))
-        .select(*examples.columns, "_tag.split", "_tag.position")
-    )
+    eval_start = train_stop if eval_offset is None else eval_offset
+
+    def part(label: str, start: int, stop: int | None) -> DataFrame:
+        """The rows of one part; only they are sorted, for their positions."""
+        placed = with_position(between_ranks(examples, order, start, stop), order, "_place", key=[key])
+        return placed.select(*examples.columns, F.lit(label).alias("split"), F.col("_place").alias("position"))
+
+    train = part("train", train_offset, train_stop)
+    if eval_start is None:
+        return train
+    return train.unionByName(part("eval", eval_start, eval_start + eval_limit if eval_limit > 0 else None))
 
 
 def require_train_rows(split: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quorumql.operators import grid, selection, strategies
 from quorumql.operators.positions import running, with_group_position, with_position
+from quorumql.operators.ranks import keys_at
 from quorumql.sources.examples import read_examples
 
 
@@ -178,3 +180,24 @@ def test_slices_keep_null_keys(spark):
     rows = spark.createDataFrame([(None, "x"), (3, "a"), (1, "b")], "index long, name string")
     assert sorted(r.name for r in selection.slice_rows(rows, 0, 2).collect()) == ["b", "x"]
     assert [r.name for r in selection.slice_rows(rows, 2, None).collect()] == ["a"]
+
+
+def test_keys_at_ranks_equal_a_sort(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 0.0, -1.5, float("nan"), 2.0, 7.0]), None if i % 13 == 0 else f"k{rng.randrange(400):03}", i) for i in range(3000)]
+    rows += [(2.0, "heavy", 5)] * 900  # one key that a quarter of the rows share
+    df = spark.createDataFrame(rows, "a double, b string, c int").repartition(5)
+    for order in (["a", "b", "c"], ["b", "c"], ["c"]):
+        expected = [tuple(r) for r in df.select(*order).orderBy(*order).collect()]
+        ranks = [0, 1, 777, 1500, 2800, 3899, 3900, -1]
+        got = keys_at(df, order, ranks, splitters=8, small=50)
+        assert [repr(k) for k in got] == [repr(expected[r]) if 0 <= r < len(expected) else "None" for r in ranks]
+
+
+def test_slices_with_null_keys_and_no_sort(spark):
+    df = spark.createDataFrame([(None, "n"), *((i, f"t{i}") for i in range(40))], "index int, text string").repartition(4)
+    assert sorted(r.text for r in selection.slice_rows(df, 0, 3).collect()) == ["n", "t0", "t1"]
+    assert sorted(r.text for r in selection.slice_rows(df, 39).collect()) == ["t38", "t39"]
+    assert selection.slice_rows(df, 41).count() == selection.slice_rows(df, 100, 5).count() == 0
+    plan = selection.slice_rows(df, 5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan and "Join" not in plan
