@@ -71,17 +71,18 @@ def add_columns(rows: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Record
 class Lexicon(dict):
     """Numbers for the distinct tokens met, and a row of figures for each, worked out for many new tokens at once.
 
-    ``make(tokens)`` gives the rows of new tokens. ``trim`` forgets everything once more than ``most`` tokens are held,
-    so memory stays bounded whatever the number of texts.
+    ``make(tokens)`` gives the rows of new tokens. ``trim`` forgets everything once more than ``most`` tokens or
+    ``most_chars`` characters of them are held, so memory stays bounded whatever the number and length of texts.
     """
 
-    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 200_000) -> None:
+    def __init__(self, make: Callable[[list[str]], np.ndarray], most: int = 200_000, most_chars: int = 8 << 20) -> None:
         super().__init__()
-        self.make, self.most, self.new, self.held = make, most, [], None
+        self.make, self.most, self.most_chars, self.chars, self.new, self.held = make, most, most_chars, 0, [], None
 
     def __missing__(self, token: str) -> int:
         number = self[token] = len(self)
         self.new.append(token)
+        self.chars += len(token)
         return number
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
@@ -96,9 +97,9 @@ class Lexicon(dict):
         return self.held
 
     def trim(self) -> None:
-        if len(self) > self.most:
+        if len(self) > self.most or self.chars > self.most_chars:
             self.clear()
-            self.new, self.held = [], None
+            self.chars, self.new, self.held = 0, [], None
 
 
 def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +135,15 @@ def gram_buckets(words: list[str], sizes: tuple[int, ...], buckets: int, whole:
     return np.concatenate(owners), np.concatenate(found)
 
 
-def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int) -> tuple[DataFrame, dict]:
+def bounded_sample(rows: DataFrame, label: str, key: str, per_class: int, most_labels: int = 256, most_rows: int = 50_000) -> tuple[DataFrame, dict]:
     """About ``per_class`` rows of each value of ``label`` (all, if there are fewer), and the row count of each value.
 
     A row is taken if the hash of its key, as a fraction, lies below ``per_class`` over its label's count, so only counts
-    are shuffled. Labels must be few; the rows are limited to twice the aim.
+    are shuffled. Of more than ``most_labels`` values the most frequent are learned; many values share ``most_rows``. The
+    rows are limited to twice the aim.
     """
-    counts = {row[0]: row[1] for row in rows.groupBy(label).count().collect()}
+    counts = {row[0]: row[1] for row in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
+    per_class = max(1, min(per_class, most_rows // max(1, len(counts))))
     place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key).cast("string")), 11) / F.lit(float(1 << 53))
     kept = F.lit(False)
     for value, n in counts.items():

@@ -9,8 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quorumql.llm import extraction, licences, toxicity
-from quorumql.llm.common import bounded_sample, held_out
+from quorumql.llm import extraction, language, licences, toxicity
+from quorumql.llm.common import Lexicon, bounded_sample, held_out
 from quorumql.llm.dom import read_page
 from quorumql.llm.language import keep_known_language, predict_language, train_language_model
 
@@ -52,6 +52,49 @@ def test_language_without_training_rows(spark):
     assert {r[names["lang_pred"]] for r in done.collect()} == {"und"}
 
 
+FOREIGN = ("Kaikki ihmiset syntyv\u00e4t vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "\u0412\u0441\u0435 \u043b\u044e\u0434\u0438 \u0440\u043e\u0436\u0434\u0430\u044e\u0442\u0441\u044f \u0441\u0432\u043e\u0431\u043e\u0434\u043d\u044b\u043c\u0438 \u0438 \u0440\u0430\u0432\u043d\u044b\u043c\u0438.",
+           "\u3059\u3079\u3066\u306e\u4eba\u9593\u306f\u3001\u751f\u307e\u308c\u306a\u304c\u3089\u306b\u3057\u3066\u81ea\u7531\u3067\u3042\u308a\u3001\u5e73\u7b49\u3067\u3042\u308b\u3002", "Wszyscy ludzie rodz\u0105 si\u0119 wolni i r\u00f3wni pod wzgl\u0119dem swej godno\u015bci i swych praw.",
+           "B\u00fct\u00fcn insanlar h\u00fcr, haysiyet ve haklar bak\u0131m\u0131ndan e\u015fit do\u011farlar.", "Alla m\u00e4nniskor \u00e4r f\u00f6dda fria och lika i v\u00e4rde och r\u00e4ttigheter.", "zxqv jkwp qqzt vbnm wrtp lkjh gfds")
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_foreign_texts_are_rejected_and_clean_ones_kept(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    model = train_language_model(docs)
+    _, scores, rejected = model.predict(list(FOREIGN), model.lexicon())
+    assert all(rejected) and max(scores) < 0.8
+    done, names = predict_language(docs, model)
+    assert done.filter(F.col(names["lang_rejected"])).count() <= 0.005 * docs.count()
+
+
+def test_language_scores_equal_a_plain_average_and_softmax(spark, documents):
+    model = train_language_model(documents)
+    texts = ["The thin and.", "Une de la \u00e9t\u00e9 and", "x"]
+    names, scores, _ = model.predict(texts, model.lexicon())
+    for text, name, score in zip(texts, names, scores):
+        total, n = np.zeros(len(model.languages)), 0
+        for word in language.words_of(text.lower()):
+            for bucket in language.subwords([word])[1]:
+                total, n = total + model.scores[bucket], n + 1
+        e = np.exp((total / n + model.bias) / model.temperature)
+        assert name == model.languages[int(np.argmax(e))] and score == pytest.approx(float(e.max() / e.sum()))
+
+
+def test_many_labels_share_the_sample(spark):
+    rows = spark.range(2000).selectExpr("id AS k", "CAST(id % 500 AS string) AS label")
+    taken, counts = bounded_sample(rows, "label", "k", 100, most_labels=50, most_rows=100)
+    assert len(counts) == 50 and taken.count() <= 200
+
+
+def test_lexicon_is_bounded_by_characters():
+    held = Lexicon(lambda tokens: np.ones((len(tokens), 2)), most_chars=100_000)
+    for i in range(500):  # parts that never repeat, as in a language without spaces
+        held.numbers([f"{i}-{k}" + "x" * 2000 for k in range(10)])
+        held.rows()
+        held.trim()
+        assert held.chars <= 100_000 and sum(map(len, held)) == held.chars
+
+
 def test_bounded_sample(spark):
     rows = spark.range(3000).selectExpr("id AS k", "IF(id % 10 = 0, 'rare', 'common') AS label")
     taken, counts = bounded_sample(rows, "label", "k", 400)
