@@ -96,8 +96,12 @@ class Lexicon(dict):
             self.new = []
         return self.held
 
+    @property
+    def full(self) -> bool:
+        return len(self) > self.most or self.chars > self.most_chars
+
     def trim(self) -> None:
-        if len(self) > self.most or self.chars > self.most_chars:
+        if self.full:
             self.clear()
             self.chars, self.new, self.held = 0, [], None
 

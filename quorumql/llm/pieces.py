@@ -114,8 +114,14 @@ class PieceTable:
         return out
 
     def relax(self, owner: np.ndarray, begins: np.ndarray, symbol: np.ndarray, start: np.ndarray, end: np.ndarray, piece: np.ndarray) -> None:
-        """Joins symbols of a stretch of whole parts in place; edges are sorted by position."""
+        """Joins symbols of a stretch of whole parts in place; edges are sorted by position.
+
+        Edges join in order of rank, then position. An open edge may join at once, whatever is open elsewhere, if no edge
+        that comes before it and may still open lies over its characters: nothing can take its symbols from it. So many
+        join in a round, and the best of each part always does, which makes the rounds few even in long parts.
+        """
         before = np.zeros(len(begins) + 1, np.int64)
+        size, never = len(begins), np.iinfo(np.int64).max
         while len(start):
             np.cumsum(begins, out=before[1:])
             under = before[end] - before[start]
@@ -125,14 +131,29 @@ class PieceTable:
             open_ = np.flatnonzero(under == 2)
             if not len(open_):
                 return
+            key = self.rank[piece] * size + start
             part = owner[start[open_]]
             new = np.flatnonzero(np.diff(part, prepend=-1))
-            # The best rank in each part and, among equals, the first position.
-            key = self.rank[piece[open_]] * len(open_) + np.arange(len(open_))
-            best = open_[np.minimum.reduceat(key, new) % len(open_)]
-            middle = np.searchsorted(before, before[start[best]] + 2, "left") - 1
-            begins[middle] = 0
-            symbol[start[best]] = self.ids[piece[best]]
+            joins = np.zeros(len(start), bool)
+            # The best of each part: several open edges begin at one place at most once, so keys differ.
+            place = np.argsort(key[open_], kind="stable")
+            first = np.full(int(part[-1]) - int(part[0]) + 1, -1)
+            first[part[place[::-1]] - part[0]] = place[::-1]
+            joins[open_[first[part[new] - part[0]]]] = True
+            if len(open_) > 4 * len(new):  # else rounds are few anyway
+                # An edge can open only if one inside it is open.
+                opened = np.zeros(int(before[-1]) + 1, np.int64)
+                opened[before[start[open_]] + 1] = 1
+                opened = np.cumsum(opened)
+                may = opened[before[start] + under - 1] > opened[before[start]]
+                length = end[may] - start[may]
+                covered = np.repeat(start[may] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+                least = np.full(size + 1, never)
+                np.minimum.at(least, covered, np.repeat(key[may], length))
+                bounds = np.stack([start[open_], end[open_]], axis=1).reshape(-1)
+                joins[open_[np.minimum.reduceat(least, bounds)[::2] == key[open_]]] = True
+            begins[np.searchsorted(before, before[start[joins]] + 2, "left") - 1] = 0
+            symbol[start[joins]] = self.ids[piece[joins]]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -160,7 +181,7 @@ def part_ids(path: str) -> tuple[Lexicon, list[bytes]]:
 def encoded(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit numbers."""
     lexicon, ids = part_ids(path)
-    if len(lexicon) > lexicon.most:
+    if lexicon.full:
         lexicon.trim()
         ids.clear()
     found = [list(map(lexicon.__getitem__, piece_parts(text))) if text else [] for text in texts]

@@ -1,5 +1,7 @@
 """Counting, packing, encoding and decoding against the tokenizers' own libraries."""
 
+import random
+import time
 import zlib
 
 import numpy as np
@@ -9,7 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from quorumql.llm.packing import binary_lengths, pack
-from quorumql.llm.pieces import decode_ids, encode_texts, encoding_report
+from quorumql.llm.pieces import decode_ids, encode_texts, encoding_report, piece_table
 from quorumql.llm.tokens import count_tokens
 from quorumql.session import freeze
 
@@ -53,6 +55,20 @@ def test_encoding_and_decoding_equal_the_library(docs):
         assert row[back] == (row.text or "") == model.decode(ids)
 
 
+def test_long_parts_without_spaces_equal_the_library_in_linear_time():
+    model, table = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_table(PIECES)
+    rng = random.Random(5)
+    odd = ["x" * 5000, "ab" * 3000, "aaaa" * 500 + "b", "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0" * 300, "the" * 2000 + "\u00e9" * 50,
+           *("".join(rng.choice(letters) for _ in range(rng.randrange(1, 900))) for letters in ("aeiouthrsn", "ab", "etaoin shr".replace(" ", ""), "\u3042\u3044\u3046abc1") for _ in range(25))]
+    for text, ids in zip(odd, table.encode(odd)):
+        assert ids == model.encode(text)
+    big = "".join(rng.choice(("tion", "ing", "the", "er", "qu", "z", "on", "and", "ss")) for _ in range(400_000))[:1_000_000]
+    started = time.perf_counter()
+    ids = table.encode([big])[0]
+    assert time.perf_counter() - started < 20
+    assert ids == model.encode(big)
+
+
 def test_encoding_report(docs):
     model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for row in encoding_report(docs, PIECES).collect():
