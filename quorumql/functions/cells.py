@@ -8,16 +8,50 @@ _EXACT_LONG = 9.0e18  # whole doubles below this in size convert to BIGINT witho
 _EXACT_DECIMAL = 1.0e38  # whole doubles below this in size fit DECIMAL(38)
 
 
+_SPLIT = 134217729.0  # 2**27 + 1 cuts a double into two halves whose products are exact
+_MOST_PLACES = 14  # places up to which the scaled fraction of a double is below 2**53
+
+
 def _plain_decimal(value: Column, precision: int) -> Column:
-    text = value.cast(T.DecimalType(38, precision)).cast("string")
+    text = _rounded(value, precision).cast("string")
     return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if precision else text
 
 
+def _rounded(value: Column, precision: int) -> Column:
+    """A double at ``precision`` places: its exact binary value, rounded to the nearest, ties to the even digit.
+
+    Casting rounds the shortest decimal form of the double, half up, which errs only where that form ends in a 5 right
+    behind the last place. There the fraction, which a double holds exactly, is scaled up and split in a way that keeps
+    the product's rounding error too, so that its side of the tie is known.
+    """
+    size = F.abs(value)
+    up = size.cast(T.DecimalType(38, precision))
+    if not 0 < precision <= _MOST_PLACES:
+        return F.when(value < 0, -up).otherwise(up)
+    scale = float(10 ** (precision + 1))
+    scale_high = scale * _SPLIT - (scale * _SPLIT - scale)
+    fraction = size - F.floor(size).cast("double")
+    product = fraction * F.lit(scale)
+    digits = F.rint(product)
+    high = fraction * F.lit(_SPLIT) - (fraction * F.lit(_SPLIT) - fraction)
+    low = fraction - high
+    error = ((high * F.lit(scale_high) - product) + high * F.lit(scale - scale_high) + low * F.lit(scale_high)) + low * F.lit(scale - scale_high)
+    above = (product - digits) + error
+    whole = digits.cast("bigint")
+    last = F.floor(whole / 10)
+    expected = last + F.when((above > 0) | ((above == 0) & (last % 2 == 1)), 1).otherwise(0)
+    tie = (whole % 10 == 5) & (F.abs(product - digits) < 0.25)
+    given = F.right(up.cast("string"), F.lit(1)).cast("bigint")
+    unit = F.lit("0." + "0" * (precision - 1) + "1").cast(T.DecimalType(38, precision))
+    exact = F.when(tie & (given != expected % 10), (up - unit).cast(T.DecimalType(38, precision))).otherwise(up)
+    return F.when(value < 0, -exact).otherwise(exact)
+
+
 def cell(value: Column, dtype: T.DataType, precision: int = 6) -> Column:
     """Canonical text of one value; equal values give equal text, whatever numeric type carries them.
 
-    Numbers are ``d:`` plus their plain decimal form at ``precision`` places (half up), so 1, 1.0 and true agree;
-    everything else is ``s:`` plus its text, so 1 and '1' differ while a blob equals its hex text. Null stays null.
+    Numbers are ``d:`` plus their plain decimal form at ``precision`` places (the exact value rounded to the nearest, ties
+    to the even digit), so 1, 1.0 and true agree; everything else is ``s:`` plus its text, so 1 and '1' differ while a blob equals its hex text. Null stays null.
     """
     if isinstance(dtype, T.BooleanType):
         return F.concat(F.lit("d:"), value.cast("int").cast("string"))
@@ -37,7 +71,7 @@ def cell(value: Column, dtype: T.DataType, precision: int = 6) -> Column:
         return F.concat(F.lit("d:"), text)
     if isinstance(dtype, T.DecimalType):
         places = min(precision, dtype.scale)
-        rounded = F.round(value, places).cast("string")
+        rounded = F.bround(value, places).cast("string")
         text = F.rtrim(F.rtrim(rounded, F.lit("0")), F.lit(".")) if places else rounded
         return F.concat(F.lit("d:"), text)
     if isinstance(dtype, T.BinaryType):
