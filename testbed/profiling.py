@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quorumql.functions.render import render_value
 from quorumql.operators import dictionary, profiling, sketches
 from quorumql.session import new_folder
+from quorumql.plans.stored_contexts import stored_contexts
 from testbed import inputs
 from testbed.registry import query
 
@@ -302,3 +303,19 @@ def _plain_schema(t: str) -> str:
 def _db_context(spark, folder):
     tables = _tables(spark, folder)
     return dictionary.build_contexts(spark, {db: {n: tables[n] for n in names} for db, names in _DATABASES.items()})
+
+
+_STORED_TABLES = {"sales": ["customer", "orders", "part", "supplier"], "web": ["events", "lineitem"]}
+
+
+@query("db_context_stored", f"WITH {_dictionary_sql()} " + " UNION ALL ".join(
+    f"SELECT '{db}' AS db_id, {' || chr(10) || '.join(_plain_schema(t) for t in names)} AS schema_text, "
+    f"(SELECT string_agg(dictionary_text, chr(10) ORDER BY table_name) FROM dictionaries "
+    f"WHERE table_name IN ({', '.join(repr(t) for t in names)})) AS data_dictionary_text"
+    for db, names in _STORED_TABLES.items()))
+def _db_context_stored(spark, folder):
+    """The first call profiles all tables, the second finds them stored."""
+    paths = {db: {t: f"{folder}/{t}.parquet" for t in names} for db, names in _STORED_TABLES.items()}
+    store = new_folder(spark, "contexts")
+    stored_contexts(spark, paths, store)
+    return stored_contexts(spark, paths, store)
