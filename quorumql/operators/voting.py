@@ -116,14 +116,15 @@ def prediction_records(
 ) -> DataFrame:
     """One record per question: the example, its selected sample, gold outcome, vote statistics and total cost.
 
-    ``samples`` holds generation and execution columns of every sample, ``gold`` the gold execution (error,
+    ``samples`` holds generation and execution columns of every sample (with ``messages``, if there, those of the selected
+    one are kept), ``gold`` the gold execution (error,
     elapsed_s, row_count), ``matches`` ``exec_match`` of the selected sample.
     """
     on = list(keys)
     picked = votes.withColumnRenamed("selected_sample", SAMPLE)
     chosen = samples.join(picked, [*on, SAMPLE]).select(
         *on,
-        F.col("sql").alias("predicted_sql"), "raw_output", "generation_error",
+        F.col("sql").alias("predicted_sql"), "raw_output", "generation_error", *(["messages"] if "messages" in samples.columns else []),
         F.col("latency_s").alias("generation_latency_s"),
         F.col("error").alias("prediction_exec_error"), F.col("elapsed_s").alias("prediction_exec_time_s"),
         F.when(F.col("error").isNull(), F.col("row_count")).alias("prediction_row_count"),

@@ -7,8 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from quorumql.operators.sweeps import METRIC_COLUMNS
+from quorumql.session import freeze
 
 _KEEP_NULLS = {"ignoreNullFields": "false"}
+#: Rows of one array file.
+ARRAY_ROWS = 10_000
+_PARTITION_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
 def write_predictions(predictions: DataFrame, path: str, run: str = "run_id", order: str = "index") -> None:
@@ -38,9 +42,10 @@ def write_summary(summary: DataFrame, path: str, run: str | None = "run_id") ->
 
 
 def write_sweep(df: DataFrame, path: str, fmt: str = "csv", columns: Sequence[str] = METRIC_COLUMNS) -> None:
-    """Sweep metrics as CSV in a fixed column order (missing values empty), as one JSON array, or as JSON lines.
+    """Sweep metrics as CSV in a fixed column order (missing values empty), as a JSON array, or as JSON lines.
 
-    An array is one record of one file, so one task writes it; a sweep has a row for each arm. Lines have no such bound.
+    Up to ``ARRAY_ROWS`` rows make one array in one file; more rows make several files of one array each, all of them
+    bounded, which ``read_sweep`` reads together.
     """
     if fmt == "csv":
         have = set(df.columns)
@@ -49,8 +54,15 @@ def write_sweep(df: DataFrame, path: str, fmt: str = "csv", columns: Sequence[st
     elif fmt == "jsonl":
         df.write.mode("error").options(**_KEEP_NULLS).json(path)
     elif fmt == "json":
-        whole = df.agg(F.collect_list(F.struct(*df.columns)).alias("rows"))
-        whole.select(F.to_json("rows", _KEEP_NULLS).alias("value")).coalesce(1).write.mode("error").text(path)
+        stored = freeze(df.select(F.struct(*df.columns).alias("row"), F.monotonically_increasing_id().alias("id")), "sweep")
+        low = F.col("id").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
+        block = F.concat_ws("-", F.shiftright("id", _PARTITION_BITS), F.floor(low / ARRAY_ROWS)) if stored.count() > ARRAY_ROWS else F.lit("0")
+        arrays = stored.groupBy(block.alias("block")).agg(F.collect_list("row").alias("rows"))
+        if stored.isEmpty():
+            arrays = df.sparkSession.createDataFrame([("0", "[]")], "block string, value string")
+        else:
+            arrays = arrays.select("block", F.to_json("rows", _KEEP_NULLS).alias("value"))
+        arrays.repartition("block").write.mode("error").partitionBy("block").text(path)
     else:
         raise ValueError(f"unknown sweep format {fmt!r}")
 
@@ -71,7 +83,7 @@ def read_sweep(
     if jsonl_path is not None:
         return spark.read.schema(schema).json(jsonl_path)
     if json_path is not None:
-        return spark.read.schema(schema).option("multiLine", True).json(json_path)
+        return spark.read.schema(schema).option("multiLine", True).json(json_path).select(*columns)
     raise ValueError("no metrics file given; expected csv_path, json_path or jsonl_path")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from quorumql.functions.cells import canonical_cells
@@ -338,6 +340,34 @@ def _full_records(spark, folder):
         F.aggregate(listed, F.lit(0).cast("bigint"), lambda t, s: t + s["selected_by_vote"].cast("int")).alias("num_selected"))
 
 
+@query("full_records_file", f"""WITH {SAMPLES_SQL}
+SELECT s.idx AS "index", s.sample_index, g.group_size, g.first_sample = v.selected_sample AS selected_by_vote, s.k % 2 = 0 AS exact_match, s.error,
+s.query_tool_calls, CAST(s.prompt_tokens AS BIGINT) AS prompt_tokens, 'answer ' || s.event_type AS said, 'question ' || s.idx AS asked, 'answer ' || c.event_type AS chosen_said,
+CAST(2 AS INTEGER) AS chosen_messages
+FROM samples s JOIN groups g ON g.idx = s.idx AND g.outcome = s.outcome JOIN votes v ON v.idx = s.idx JOIN samples c ON c.idx = v.idx AND c.sample_index = v.selected_sample""")
+def _full_records_file(spark, folder):
+    """Records with the chosen sample's messages and the list of all samples, written as JSON lines and read again."""
+    said = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("question "), "index").alias("content")),
+                   F.struct(F.lit("assistant").alias("role"), F.col("raw_output").alias("content")))
+    unanswered = inputs.unanswered(spark, folder)
+    users = inputs.users(spark, folder).unionByName(unanswered)
+    gold = inputs.gold(spark, folder).unionByName(unanswered.select(
+        "index", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("elapsed_s"), F.lit(2).cast("bigint").alias("row_count")))
+    samples = inputs.samples(spark, folder).withColumn("messages", said)
+    done = evaluate(users, samples, inputs.sample_results(spark, folder), gold, inputs.gold_results(spark, folder))
+    details = voting.sample_details(done.samples.join(users.select("index", "gold_sql"), "index"), done.votes)
+    most = samples.groupBy("index").count().agg(F.max("count")).first()[0] or 0
+    made = full_records(done.predictions, details, replace(_SETTINGS, self_consistency_samples=most))
+    path = new_folder(spark, "full-records")
+    records.write_predictions(made.withColumn("run_id", F.col("index") % 3), path)
+    back = records.read_predictions(spark, path, made.schema)
+    each = back.select("index", F.col("messages").alias("chosen"), F.explode("self_consistency_sampled_predictions").alias("s"))
+    return each.select(
+        "index", "s.sample_index", "s.group_size", "s.selected_by_vote", "s.exact_match", "s.error", "s.query_tool_calls", "s.prompt_tokens",
+        F.col("s.messages")[1]["content"].alias("said"), F.col("s.messages")[0]["content"].alias("asked"), F.col("chosen")[1]["content"].alias("chosen_said"),
+        F.size("chosen").alias("chosen_messages"))
+
+
 @query("summary_by_group", f"""WITH {SAMPLES_SQL}
 SELECT 'run' AS "grouping", 1 AS run_id, NULL AS db_id, NULL AS difficulty, {_SUMMARY_SQL} FROM records
 UNION ALL SELECT 'db', 1, db_id, NULL, {_SUMMARY_SQL} FROM records GROUP BY db_id

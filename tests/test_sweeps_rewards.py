@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quorumql.operators.runs import RunSettings, run_config
 from quorumql.operators import answers, previews, prompts, rewards, sweeps
 from quorumql.plans.training import reward_rollouts, training_rows
 from quorumql.sources import records
@@ -152,3 +153,26 @@ def test_preview_fallbacks(spark):
     assert json.loads(payloads(spark, "drop x", []).payload)["error"] == previews.NOT_READ_ONLY
     failed = json.loads(payloads(spark, "select 1", [], error="boom\n").payload)
     assert failed == {"ok": False, "error": "boom\n", "sql": "select 1"}
+
+
+def test_sweep_arrays_are_bounded_files(spark, tmp_path, monkeypatch):
+    rows = spark.range(250).selectExpr("CAST(id AS STRING) AS k", "IF(id % 3 = 0, NULL, CAST(id / 7 AS STRING)) AS execution_accuracy", "concat('run \"', id, '\" ]}') AS run_dir").repartition(3)
+    expected = sorted(tuple(r) for r in rows.collect())
+    for most in (10_000, 20):
+        monkeypatch.setattr(records, "ARRAY_ROWS", most)
+        path = str(tmp_path / f"json{most}")
+        records.write_sweep(rows, path, "json")
+        back = records.read_sweep(spark, json_path=path).select("k", "execution_accuracy", "run_dir")
+        assert sorted(tuple(r) for r in back.collect()) == expected
+        files = spark.read.option("wholetext", True).text(path).collect()
+        assert (len(files) == 1) == (most == 10_000) and max(r.value.count('"k"') for r in files) <= most
+    records.write_sweep(rows.limit(0), str(tmp_path / "none"), "json")
+    assert records.read_sweep(spark, json_path=str(tmp_path / "none")).count() == 0
+
+
+def test_run_settings_are_written_and_read(spark, tmp_path):
+    settings = RunSettings("2024-05-01T10:00:00+00:00", "2024-05-01T10:01:30+00:00", "single_shot", None, "runs/one", True, 6, 4, 5)
+    made = run_config(spark, settings)
+    records.write_summary(made, str(tmp_path / "config"), run=None)
+    back = spark.read.schema(made.schema).json(str(tmp_path / "config")).collect()
+    assert back == made.collect() and back[0].model is None and back[0].self_consistency_enabled and back[0].summary_path == "runs/one/summary.json"
