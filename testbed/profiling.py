@@ -236,49 +236,50 @@ _FOREIGN_KEYS = [("orders", 0, "o_custkey", "customer", "c_custkey")]
 _KEYS = [("customer", "c_custkey", True, True), ("orders", "o_orderkey", True, False), ("part", "p_name", False, True)]
 
 
+def _json_value(column: str, kind: str) -> str:
+    if kind == TEXT:
+        return f"""'"' || replace({column}, '"', '\\"') || '"'"""
+    if kind == TS:
+        return f"""'"' || strftime({column}, '%Y-%m-%dT%H:%M:%S.%g') || '"'"""
+    return f"CAST({column} AS VARCHAR)"
+
+
 def _sample_sql(t: str) -> str:
+    """The first two rows in key order, every column of them as JSON text."""
+    entries = " || ',' || ".join(f"""'"{c}":' || coalesce({_json_value(c, k)}, 'null')""" for c, k in SCHEMAS[t])
     key = _ORDER[t][0]
-    values = ", ".join(f"'{c}', {c}" for c, k in SCHEMAS[t] if k != TS)
-    return f"SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {key}) AS rank, {key} AS key, json_object({values}) AS row_text FROM (SELECT * FROM {t} ORDER BY {key} LIMIT 2)"
+    return f"SELECT '{t}' AS table_name, row_number() OVER (ORDER BY {key}) AS rank, '{{' || {entries} || '}}' AS row_text FROM (SELECT * FROM {t} ORDER BY {key} LIMIT 2)"
 
 
 def _keyed_tables(spark, folder) -> dict[str, DataFrame]:
-    return {n: inputs.table(spark, folder, n).drop("o_orderdate") for n in _ORDER}
-
-
-def _visible(t: str) -> list[tuple[str, str]]:
-    return [(c, k) for c, k in SCHEMAS[t] if c != "o_orderdate"]
+    return {n: inputs.table(spark, folder, n) for n in _ORDER}
 
 
 @query("schema_samples", " UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, CAST(rank AS INTEGER) AS rank, CAST(key AS VARCHAR) AS key FROM ({_sample_sql(t)})" for t in _ORDER))
+    f"SELECT table_name, CAST(rank AS INTEGER) AS rank, row_text FROM ({_sample_sql(t)})" for t in _ORDER))
 def _schema_samples(spark, folder):
-    rows = dictionary.sample_rows(_keyed_tables(spark, folder), _ORDER, 2)
-    key = F.coalesce(*[F.get_json_object("row_text", f"$.{k[0]}") for k in _ORDER.values()])
-    return rows.select("table_name", "rank", key.alias("key"))
+    return dictionary.sample_rows(_keyed_tables(spark, folder), _ORDER, 2).select("table_name", "rank", "row_text")
 
 
 def _schema_sql(t: str) -> str:
     marks = {(n, c): " [" + " ".join(w for w, on in (("pk", p), ("not_null", q)) if on) + "]" for n, c, p, q in _KEYS}
-    head = [f"TABLE {t}"] + [f"  - {c}: {k}{marks.get((t, c), '')}" for c, k in _visible(t)[:4]]
-    if len(_visible(t)) > 4:
-        head.append(f"  - ... {len(_visible(t)) - 4} more columns")
+    head = [f"TABLE {t}"] + [f"  - {c}: {k}{marks.get((t, c), '')}" for c, k in SCHEMAS[t][:4]]
+    if len(SCHEMAS[t]) > 4:
+        head.append(f"  - ... {len(SCHEMAS[t]) - 4} more columns")
     links = [f"    - {a} -> {b}.{c}" for n, _, a, b, c in _FOREIGN_KEYS if n == t]
     if links:
         head += ["  foreign_keys:", *links]
     text = " || chr(10) || ".join(f"'{line}'" for line in [*head, "  sample_rows:"])
-    key = _ORDER[t][0]
     return (
-        f"SELECT '{t}' AS table_name, {text} || chr(10) || (SELECT string_agg('    - ' || {key}, chr(10) ORDER BY {key}) "
-        f"FROM (SELECT {key} FROM {t} ORDER BY {key} LIMIT 2)) AS schema_text"
+        f"SELECT '{t}' AS table_name, {text} || chr(10) || (SELECT string_agg('    - ' || row_text, chr(10) ORDER BY rank) "
+        f"FROM ({_sample_sql(t)})) AS schema_text"
     )
 
 
 @query("schema_text", " UNION ALL ".join(_schema_sql(t) for t in _ORDER))
 def _schema_text(spark, folder):
     tables = _keyed_tables(spark, folder)
-    first = {n: df.select(_ORDER[n][0]) for n, df in tables.items()}
-    shown = dictionary.sample_rows(first, _ORDER, 2).withColumn("row_text", F.regexp_extract("row_text", r":(\d+)", 1))
+    shown = dictionary.sample_rows(tables, _ORDER, 2)
     keys = spark.createDataFrame(
         [(None, *k) for k in _KEYS], "db_id string, table_name string, column_name string, is_pk boolean, not_null boolean")
     links = spark.createDataFrame(

@@ -177,7 +177,7 @@ def _token_usage(spark, folder):
 
 
 _OUTCOME_SQL = """outcomes AS (SELECT event_id, user_id, event_type = 'purchase' AS exec_match, event_type <> 'error' AS executable,
-CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 2 = 0 AS exact_match, value, event_type FROM events),
+CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 2 = 0 AS exact_match, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) % 4 AS query_tool_calls, value, event_type FROM events),
 rewarded AS (SELECT *, round(1.0 * CAST(exec_match AS INT) + 0.25 * CAST(executable AS INT) + 0.125 * CAST(exact_match AS INT), 6)::DOUBLE AS reward FROM outcomes)"""
 
 
@@ -198,10 +198,10 @@ def _outcome_reward(spark, folder):
 @query("reward_metrics", f"""WITH {_OUTCOME_SQL} SELECT user_id, count(*) AS rollouts, round(avg(reward), 6) AS reward,
 round(avg(CAST(exec_match AS INT)), 6) AS exec_match, round(avg(CAST(executable AS INT)), 6) AS executable,
 round(avg(CAST(exact_match AS INT)), 6) AS exact_match, round(avg(CAST(event_type <> 'view' AS INT)), 6) AS prediction_has_sql,
-1.0::DOUBLE AS query_tool_enabled FROM rewarded GROUP BY user_id""")
+round(avg(query_tool_calls), 6) AS query_tool_calls, 1.0::DOUBLE AS query_tool_enabled FROM rewarded GROUP BY user_id""")
 def _reward_metrics(spark, folder):
-    means = rewards.reward_metrics(_rewarded(spark, folder), True, ["user_id"]).drop("query_tool_calls")
-    return means.withColumns({c: F.round(c, 6) for c in ("reward", "exec_match", "executable", "exact_match", "prediction_has_sql")})
+    means = rewards.reward_metrics(_rewarded(spark, folder), True, ["user_id"])
+    return means.withColumns({c: F.round(c, 6) for c in ("reward", "exec_match", "executable", "exact_match", "prediction_has_sql", "query_tool_calls")})
 
 
 @query("reward_rollouts", """WITH finals AS (
