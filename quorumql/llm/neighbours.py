@@ -7,7 +7,7 @@ distance over d*d follows a chi-square distribution with as many degrees of free
 
 A kd-tree over the projections, its cuts set on a bounded sample, deals all rows into cells; inside a cell a second tree
 deals them into leaves. A query takes its points by growing projected distance, its nearest ones first and then shell by
-shell, and verifies their vectors with the exact measure; leaves whose box lies outside the radius are not looked at, and
+shell, and verifies their vectors with the exact measure, many pairs at a time; leaves whose box lies outside the radius are not looked at, and
 points outside it are not verified. The radius is that within which a point nearer than the k-th best found would, with
 probability ``sure``, have been met already; it shrinks with every shell. This happens in two rounds, each a grouped
 job: the query's own cell, which gives a bound; then all cells that the test with this bound leaves over.
@@ -175,15 +175,19 @@ def search_block(space: Space, rows: pd.DataFrame, queries: pd.DataFrame, k: int
         away[names[:, None] == ids[place]] = np.inf
         best = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         done = np.zeros(away.shape, bool)
-        first = min(4 * k, len(place) - 1)
-        reach = np.partition(away, first, axis=1)[:, first]
-        for share in (None, *SHELLS):
-            now = np.minimum(reach, radius()) if share is None else share * radius()
+        # Scores of a block product may differ in their last digits; what could count by them is summed in the one order.
+        rough, slack = own @ vectors[place].T, 1e-10 * np.sqrt(length * space.longest) + 1e-300
+        for share in (*((None,) if not np.isfinite(worst).all() else ()), *SHELLS):
+            if share is None:
+                first = min(4 * k, len(place) - 1)
+                now = np.minimum(np.partition(away, first, axis=1)[:, first], radius())
+            else:
+                now = share * radius()
             wanted = (away <= now[:, None]) & ~done & (away < np.inf)
             done |= wanted
-            i, j = np.nonzero(wanted)
             if seen is not None:
-                seen.append(len(i))
+                seen.append(int(wanted.sum()))
+            i, j = np.nonzero(wanted & (rough >= (worst - slack)[:, None]))
             score = np.empty(len(i))
             for p in range(0, len(i), PAIRS):
                 part = slice(p, p + PAIRS)
