@@ -34,6 +34,8 @@ SPACE = "▁"
 BATCH = 1 << 20
 #: Characters whose edges are relaxed together.
 STRETCH = 1 << 15
+#: Open edges for each part, from which more than the best one are looked for in a round.
+MANY = 24
 
 
 class PieceTable:
@@ -131,16 +133,13 @@ class PieceTable:
             open_ = np.flatnonzero(under == 2)
             if not len(open_):
                 return
-            key = self.rank[piece] * size + start
             part = owner[start[open_]]
             new = np.flatnonzero(np.diff(part, prepend=-1))
-            joins = np.zeros(len(start), bool)
-            # The best of each part: several open edges begin at one place at most once, so keys differ.
-            place = np.argsort(key[open_], kind="stable")
-            first = np.full(int(part[-1]) - int(part[0]) + 1, -1)
-            first[part[place[::-1]] - part[0]] = place[::-1]
-            joins[open_[first[part[new] - part[0]]]] = True
-            if len(open_) > 4 * len(new):  # else rounds are few anyway
+            # The best rank in each part and, among equals, the first position.
+            own = self.rank[piece[open_]] * len(open_) + np.arange(len(open_))
+            joins = open_[np.minimum.reduceat(own, new) % len(open_)]
+            if len(open_) > MANY * len(new):  # else rounds are few anyway
+                key = self.rank[piece] * size + start
                 # An edge can open only if one inside it is open.
                 opened = np.zeros(int(before[-1]) + 1, np.int64)
                 opened[before[start[open_]] + 1] = 1
@@ -151,7 +150,8 @@ class PieceTable:
                 least = np.full(size + 1, never)
                 np.minimum.at(least, covered, np.repeat(key[may], length))
                 bounds = np.stack([start[open_], end[open_]], axis=1).reshape(-1)
-                joins[open_[np.minimum.reduceat(least, bounds)[::2] == key[open_]]] = True
+                free = open_[np.minimum.reduceat(least, bounds)[::2] == key[open_]]
+                joins = np.union1d(joins, free)
             begins[np.searchsorted(before, before[start[joins]] + 2, "left") - 1] = 0
             symbol[start[joins]] = self.ids[piece[joins]]
 
