@@ -332,7 +332,8 @@ FROM records r LEFT JOIN samples s ON s.idx = r.idx LEFT JOIN groups g ON g.idx
 GROUP BY r.idx""")
 def _full_records(spark, folder):
     done = _evaluation(spark, folder)
-    made = full_records(done.predictions, voting.sample_details(done.samples, done.votes), _SETTINGS)
+    most = done.samples.groupBy("index").count().agg(F.max("count")).first()[0] or 0
+    made = full_records(done.predictions, voting.sample_details(done.samples, done.votes), replace(_SETTINGS, self_consistency_samples=most))
     listed = F.col("self_consistency_sampled_predictions")
     return made.select(
         "index", "strategy", F.nullif(F.size(listed), F.lit(-1)).alias("num_samples"),

@@ -89,6 +89,6 @@ def _run_sql_per_database(spark, folder):
     rows = [(db, i, sql) for db in ("db_a", "db_b") for i, sql in enumerate(_PARITY_PACK)]
     statements = spark.createDataFrame(rows, "db_id string, statement int, sql string")
     _, results = run_statements(statements, timeout_s=600, database="db_id", sessions=session)
-    values = F.concat_ws("", F.transform("cells", lambda c: F.substring(c, 3, 1000)))
+    values = F.concat_ws("", F.transform("cells", lambda c: F.substring(c, F.lit(3), F.length(c))))
     return results.groupBy("db_id", "statement").agg(
         F.count(F.lit(1)).alias("row_count"), F.sum(F.length(values)).alias("text_length"))
