@@ -47,6 +47,8 @@ GROUPS, LEAF = 64, 16
 WINDOWS, PAIRS = (1, 16, 256, 4096), 1 << 15
 #: A candidate pair and the components that its nodes are in so far.
 PAIR = ["a", "b", "from_a", "from_b"]
+#: What a list's members are compared by; a window may carry a tree over them as well, which goes when members join it.
+MEMBER = ("id", "n", "label", "point")
 #: Bits of the filter that says which sets are needed again: 4 MB, whatever the table.
 FILTER_BITS = 1 << 25
 #: Hashes of texts that a task keeps to return a set that repeats only once.
@@ -282,7 +284,7 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
             return made(window, more, i[kept], j[kept])
         if (window["label"] == window["label"][0]).all():
             away = np.flatnonzero(more["label"] != window["label"][0])
-            more = {k: v[away] for k, v in more.items()}
+            more = {k: more[k][away] for k in MEMBER}
         if "tree" not in window:
             window["tree"] = CountTree(window["point"], window["n"])
         asked, found = window["tree"].search(more["point"], more["n"], num, den)
@@ -305,13 +307,13 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
                 if own["band"][0] != band:
                     window, band = None, own["band"][0]
                 inside = own["place"] < high
-                now = {k: v[inside] for k, v in own.items() if k != "band"}
-                rest = {k: v[~inside] for k, v in own.items() if k != "band"}
+                now = {k: own[k][inside] for k in MEMBER}
+                rest = {k: own[k][~inside] for k in MEMBER}
                 if len(now["id"]):
                     out.append(pairs(now, now, True))
                     if window is not None:  # the window's members came in several batches
                         out.append(pairs(window, now, False))
-                        now = {k: np.concatenate([window[k], now[k]]) for k in now}
+                        now = {k: np.concatenate([window[k], now[k]]) for k in MEMBER}
                     window = now
                 if len(rest["id"]) and window is not None:
                     out.append(pairs(window, rest, False))

@@ -69,6 +69,24 @@ def test_components_equal_brute_force(spark, windows):
     assert found(df, windows=windows) == brute(rows)
 
 
+def test_window_whose_members_come_in_several_batches(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(300):  # one long list, whose window of places 16 to 255 has trees over single batches
+        own = list(base)
+        own[rng.randrange(len(own))] = f"x{i}"
+        rows.append((i, " ".join(own), "x", 0, 0))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "90")
+        assert found(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+        assert found(spark.createDataFrame(rows, SCHEMA), num=96) == brute(rows, num=96)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_lower_thresholds_equal_brute_force(spark):
     rows = texts(seed=5, families=8)
     assert found(spark.createDataFrame(rows, SCHEMA), num=80) == brute(rows, num=80)
