@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from quorumql.functions.cells import canonical_cells
@@ -11,6 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def write_one_file(ordered: DataFrame, path: str) -> None:
+    """The one text column of sorted rows as one file. Many tasks sort and hold their rows on disk, the one that writes
+    passes them on; it would sort all of them itself, one part after the other, without that."""
+    held = ordered.persist(StorageLevel.DISK_ONLY)
+    try:
+        held.count()
+        held.coalesce(1).write.option("lineSep", " ").text(path)
+    finally:
+        held.unpersist()
+
+
 def examples(spark: SparkSession, folder: str) -> DataFrame:
     """Questions out of orders."""
     key = F.col("o_orderkey")

@@ -55,7 +55,7 @@ AWKWARD = '}, {"a\\": [1] ' + "\\"
 'db_' || o_custkey % 11 AS db_id, o_orderpriority || '{AWKWARD}' || o_orderstatus AS question, '' AS evidence,
 'SELECT "{{' || o_orderkey || '"' AS gold_sql, CASE WHEN o_orderkey % 2 = 0 THEN '{AWKWARD}' ELSE 'unknown' END AS difficulty FROM orders""")
 def _read_examples_one_array(spark, folder):
-    # All of orders as one JSON array in one file, which a single task writes record by record; many tasks read it.
+    # All of orders as one JSON array in one file, which a single task writes record by record; many tasks sort and read it.
     path = new_folder(spark, "examples-one-array")
     orders = inputs.table(spark, folder, "orders")
     record = F.struct(
@@ -66,8 +66,7 @@ def _read_examples_one_array(spark, folder):
     least = orders.agg(F.min("o_orderkey")).first()[0]
     lines = orders.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") == F.lit(least), "[").otherwise(","), F.to_json(record)).alias("value"))
     end = spark.createDataFrame([(None, "]")], "o_orderkey bigint, value string")
-    ordered = lines.unionByName(end).orderBy(F.asc_nulls_last("o_orderkey"))
-    ordered.select("value").coalesce(1).write.option("lineSep", " ").text(path)
+    inputs.write_one_file(lines.unionByName(end).orderBy(F.asc_nulls_last("o_orderkey")).select("value"), path)
     return read_examples(spark, path)
 
 

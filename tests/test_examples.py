@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorumql.sources.examples import json_array_records, read_examples
+from testbed import inputs
 
 AWKWARD = ['{', '}', '}, {', '"', '\\', '\\"', '\\\\"}', '],[', '[{"a": 1}]', "\n", "é😀", "", "}" * 40, '"}"', "\\u007d"]
 
@@ -68,3 +69,18 @@ def test_no_task_holds_the_whole_array(spark, tmp_path, small_splits):
     assert found.count() == 400 and found.agg(F.max(F.length("record"))).first()[0] < 2000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "wholetext" not in plan.lower()
+
+
+def test_one_file_is_sorted_by_many_tasks_and_keeps_the_order(spark, tmp_path):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "false")
+        rows = spark.range(500).repartition(4).orderBy("id").select(F.concat_ws(":", F.spark_partition_id(), "id").alias("value"))
+        inputs.write_one_file(rows, str(tmp_path / "one"))
+    finally:
+        spark.conf.set(name, before)
+    (file,) = (tmp_path / "one").glob("part-*")
+    tasks, ids = zip(*(line.split(":") for line in file.read_text().split()))
+    assert list(map(int, ids)) == list(range(500))
+    assert len(set(tasks)) == 4  # the task that writes has sorted none of them
