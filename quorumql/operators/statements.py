@@ -252,8 +252,9 @@ def run_statements(
     rows = stored.withColumn("_segment", F.shiftright("row_id", _PARTITION_BITS)).withColumn(
         "_offset", F.col("row_id").bitwiseAND(F.lit((1 << _PARTITION_BITS) - 1))
     )
-    # One row per statement and task that wrote some of its rows.
-    sizes = rows.groupBy("text_id", "_segment").agg(F.count(F.lit(1)).alias("_rows"))
+    # One row per statement and task that wrote some of its rows. Written once, as ``numbered`` below, so that Spark knows
+    # how small it is: a shuffle by these keys would bring all rows of one text and task into one task.
+    sizes = freeze(rows.groupBy("text_id", "_segment").agg(F.count(F.lit(1)).alias("_rows")), "sizes")
     before = Window.partitionBy("text_id").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("text_id", "_segment", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     placed = rows.join(starts, ["text_id", "_segment"]).select(
@@ -276,5 +277,6 @@ def run_statements(
         "columns",
     )
     keys = [c for c in statements.columns if c != sql]
-    results = named.join(placed, "text_id").select(*keys, "row_pos", "cells", *(["shown"] if shown else []))
+    numbered = freeze(named.select("text_id", *keys), "numbered")
+    results = numbered.join(placed, "text_id").select(*keys, "row_pos", "cells", *(["shown"] if shown else []))
     return executions, results

@@ -124,3 +124,11 @@ def test_error_texts_keep_what_stands_in_the_statement(spark):
     assert first == again
     assert "a#1" in first["a"][0] and "a#2" in first["b"][0] and first["a"][0] != first["b"][0] and first["b"] == first["c"]
     assert describe_error(Exception("no column id#12L in x#3"), "SELECT `x#3`")[0] == "no column id in x#3"
+
+
+def test_rows_of_a_text_are_not_brought_into_one_task(spark):
+    statements = spark.createDataFrame([(1, "SELECT id FROM range(0, 3000, 1, 4)"), (2, "SELECT 5")], "index int, sql string")
+    _, results = run_statements(statements, timeout_s=60)
+    # Numbers of texts and of their parts are small and known to be, so large results stay where they were read.
+    assert "SortMergeJoin" not in results._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["index"], r.row_pos) for r in results.collect()) == [(1, i) for i in range(3000)] + [(2, 0)]
