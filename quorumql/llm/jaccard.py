@@ -4,14 +4,17 @@ A document's set holds its distinct word shingles, as 64-bit hashes. Sets link i
 NUM/DEN. Hashing the shingles into ``GROUPS`` groups and counting each group gives a point; two sets share at most the sum
 over groups of the smaller count. An R-tree over points keeps for each box the largest count of every group and the range
 of set sizes, so the same sum bounds all sets of a box from above: a box whose bound lies below the least overlap that a
-link needs is left out whole. Pairs that survive down to the points are verified on the sets themselves.
+link needs is left out whole. Pairs that survive down to the points must pass a second bound, by sketches of parities,
+which says in how many shingles two sets differ at least; what is left is verified on the sets themselves. Without it a
+large group of texts that nearly link (similar at 0.8 to 0.9) gives pairs with the square of its size.
 
 One tree over the whole table would prune little above its leaves: independent texts of like length differ by a few
 counts in each group, less than the difference that a link allows. The upper levels are therefore dealt by equality
 instead of boxes. For a smaller set of size n a link allows at most d = n * (DEN - NUM) / NUM differing shingles; with the
 shingles hashed into d + 1 bands, linked sets agree in one whole band at least. Sets are posted by (size class, band, content of
-the band), in their own size class and in the class below, which a smaller partner may lie in. Lists of one set are
-dropped; inside a list the tree does the search. No link is lost, whatever the table.
+the band), in their own size class and as guests in the class below, which a smaller partner may lie in. Guests of a list
+meet in their own class, so they are compared with its owners alone. Lists of one set or of guests alone are dropped;
+inside a list the tree does the search. No link is lost, whatever the table.
 
 Equal sets are one node. Rounds work through the lists in windows of places (0; 1-15; 16-255; ...): everybody is compared
 with the window's members unless both already belong to one component, so a large group of near copies is mostly joined
@@ -43,12 +46,14 @@ from quorumql.session import freeze
 
 WORDS, NUM, DEN, SEED = 3, 90, 100, 42
 GROUPS, LEAF = 64, 16
+#: Groups of a parity sketch (2 to this power), and bits kept of each.
+SKETCH_POWER, PLANES = 9, 4
 #: Ends of the windows of places in a list, the last also the size of the blocks beyond; pairs that one step of the tree bounds.
 WINDOWS, PAIRS = (1, 16, 256, 4096), 1 << 15
 #: A candidate pair and the components that its nodes are in so far.
 PAIR = ["a", "b", "from_a", "from_b"]
 #: What a list's members are compared by; a window may carry a tree over them as well, which goes when members join it.
-MEMBER = ("id", "n", "label", "point")
+MEMBER = ("id", "n", "label", "point", "sketch")
 #: Bits of the filter that says which sets are needed again: 4 MB, whatever the table.
 FILTER_BITS = 1 << 25
 #: Hashes of texts that a task keeps to return a set that repeats only once.
@@ -85,6 +90,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def band_count(largest: int, num: int = NUM, den: int = DEN) -> int:
+    """Bands of the size class that ends at ``largest``; with fewer than two only equal sets link, and they are one node."""
+    return largest * (den - num) // num + 1
+
+
+def own_bands(n: int, num: int = NUM, den: int = DEN) -> int:
+    """How many of a set's band keys are of its own size class; they come first."""
+    if not n:
+        return 0
+    starts = size_classes(num, den, 1 << max(16, n.bit_length()))
+    bands = band_count(starts[int(np.searchsorted(starts, n, side="right"))] - 1, num, den)
+    return bands if bands > 1 else 0
+
+
 def band_keys(own: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Keys of the set's bands in its own size class and, where a smaller partner may lie there, in the one below."""
     n = len(own)
@@ -97,9 +116,9 @@ def band_keys(own: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         if c < 0:
             continue
         largest = starts[c + 1] - 1
-        bands = largest * (den - num) // num + 1
+        bands = band_count(largest, num, den)
         if bands < 2 or (c < at and n * num > largest * den):
-            continue  # only equal sets could link there, and they are one node
+            continue
         sums = np.zeros(bands, np.uint64)
         np.add.at(sums, (own % np.uint64(bands)).astype(np.int64), blurred)
         keys.append(mixed(sums + mixed(np.arange(bands, dtype=np.uint64) + np.uint64((c + 1) << 32))))
@@ -111,6 +130,31 @@ def group_counts(own: np.ndarray, groups: int = GROUPS) -> np.ndarray:
     return np.bincount((own >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype(np.uint32)
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """Parities by group of the set's shingles: of their number, and of one bit of their hashes in each further plane."""
+    blurred = mixed(own)
+    group = (blurred >> np.uint64(64 - SKETCH_POWER)).astype(np.int64)
+    planes = [np.bincount(group, minlength=1 << SKETCH_POWER)]
+    planes += [np.bincount(group[(blurred >> np.uint64(k)) & np.uint64(1) == 1], minlength=1 << SKETCH_POWER) for k in range(PLANES - 1)]
+    return np.packbits((np.stack(planes) & 1).astype(np.uint8))
+
+
+def least_apart(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many shingles the sets of the pairs (left[i], right[j]) of sketches differ at least.
+
+    Shared shingles leave the parities alike. A group whose numbers differ in parity holds one differing shingle at least,
+    a group that differs in another plane only holds two.
+    """
+    out, width = np.empty(len(i), np.int64), (1 << SKETCH_POWER) // 64
+    for at in range(0, len(i), PAIRS):
+        part = slice(at, at + PAIRS)
+        apart = (left[i[part]] ^ right[j[part]]).reshape(-1, PLANES, width)
+        odd = apart[:, 0]
+        even = np.bitwise_or.reduce(apart[:, 1:], axis=1) & ~odd
+        out[part] = np.bitwise_count(odd).sum(axis=1, dtype=np.int64) + 2 * np.bitwise_count(even).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def needed(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
     """Least overlap with which sets of the sizes ``a`` and ``b`` link."""
     return -(-num * (a + b) // (num + den))
@@ -177,9 +221,14 @@ def close_enough(left: np.ndarray, left_sizes: np.ndarray, right: np.ndarray, ri
     return kept
 
 
-def points_of(column: pa.Array) -> np.ndarray:
-    held = column.to_pylist()
-    return np.frombuffer(b"".join(held), np.uint32).reshape(len(held), -1)
+def near_enough(one: dict, two: dict, i: np.ndarray, j: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
+    """Whether the pairs of members (one[i], two[j]) can differ in as few shingles as a link allows."""
+    a, b = one["n"][i], two["n"][j]
+    return least_apart(one["sketch"], two["sketch"], i, j) <= a + b - 2 * needed(a, b, num, den)
+
+
+def vectors_of(held: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
 
 
 def text_mark(text: str | None) -> int:
@@ -188,7 +237,7 @@ def text_mark(text: str | None) -> int:
 
 
 def described(docs: DataFrame, text: str, key: str, words: int, num: int, den: int) -> DataFrame:
-    """Key, set size, digest, hash of the text and band keys of each row, written once."""
+    """Key, set size, digest, hash of the text, band keys and number of those of the own class of each row, written once."""
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def step(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -200,41 +249,53 @@ def described(docs: DataFrame, text: str, key: str, words: int, num: int, den: i
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         return pa.RecordBatch.from_arrays([
             part.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()),
-            pa.array([text_mark(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["key", "n", "d1", "d2", "mark", "bands"])
+            pa.array([text_mark(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64())),
+            pa.array([own_bands(len(s), num, den) for s in sets], pa.int64())], ["key", "n", "d1", "d2", "mark", "bands", "own"])
 
-    schema = T.StructType([rows.schema["key"], *T._parse_datatype_string("n long, d1 long, d2 long, mark long, bands array<long>").fields])
+    schema = T.StructType([rows.schema["key"], *T._parse_datatype_string("n long, d1 long, d2 long, mark long, bands array<long>, own long").fields])
     return freeze(map_texts(rows, "text", step, schema), "described")
 
 
 def posting_lists(nodes: DataFrame) -> DataFrame:
-    """(band, id, place) of the lists with two nodes or more; places follow one order of nodes that is the same in all lists."""
+    """(band, id, place, guest) of the lists with two nodes or more, one of them an owner.
+
+    Owners come before guests; apart from that, places follow one order of nodes that is the same in all lists.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, ids, place = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last row so far, not yet handed on
+        # The last row so far, not yet handed on, and whether its list has an owner.
+        band, ids, place = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        guest, owned = np.zeros(0, bool), np.zeros(0, bool)
+
+        def made(kept: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (band, ids, place, guest)], ["band", "id", "place", "guest"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             band = np.concatenate([band, batch.column("band").to_numpy()])
             ids = np.concatenate([ids, batch.column("id").to_numpy()])
+            guest = np.concatenate([guest, batch.column("guest").to_numpy(zero_copy_only=False)])
             new = np.append(True, np.diff(band) != 0)
             start = np.maximum.accumulate(np.where(new, np.arange(len(band)), 0))
-            inside = np.arange(len(band)) - start
+            inside, held = np.arange(len(band)) - start, ~guest[start]
             if len(place):
                 inside[start == 0] += place[0]
-            beside = (inside > 0) | np.append(np.diff(band) == 0, False)
+                held[start == 0] = owned[0]
+            place, owned = inside, held
+            beside = (place > 0) | np.append(np.diff(band) == 0, False)
             beside[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(band[beside]), pa.array(ids[beside]), pa.array(inside[beside])], ["band", "id", "place"])
-            band, ids, place = band[-1:], ids[-1:], inside[-1:]
-        last = place > 0
-        yield pa.RecordBatch.from_arrays([pa.array(band[last]), pa.array(ids[last]), pa.array(place[last])], ["band", "id", "place"])
+            yield made(beside & owned)
+            band, ids, place, guest, owned = band[-1:], ids[-1:], place[-1:], guest[-1:], owned[-1:]
+        yield made((place > 0) & owned)
 
-    posted = nodes.select("id", F.explode("bands").alias("band"))
-    together = posted.repartition("band").sortWithinPartitions("band", F.xxhash64("id"), "id").select("band", "id")
-    return freeze(together.mapInArrow(run, "band long, id long, place long"), "lists")
+    posted = nodes.select("id", "own", F.posexplode("bands").alias("at", "band")).select("id", "band", (F.col("at") >= F.col("own")).alias("guest"))
+    together = posted.repartition("band").sortWithinPartitions("band", "guest", F.xxhash64("id"), "id").select("band", "id", "guest")
+    return freeze(together.mapInArrow(run, "band long, id long, place long, guest boolean"), "lists")
 
 
 def member_sets(docs: DataFrame, text: str, members: DataFrame, words: int) -> DataFrame:
-    """(id, n, shingles, point) of the nodes ``members`` (id, n, d1, d2, mark), worked out anew from the texts.
+    """(id, n, shingles, point, sketch) of the nodes ``members`` (id, n, d1, d2, mark), worked out anew from the texts.
 
     ``mark`` is the hash of one of the texts that have the set. A filter of a fixed number of bits over the marks lets
     most other documents go inside their tasks before their shingles are made; what passes wrongly goes in the join.
@@ -257,20 +318,20 @@ def member_sets(docs: DataFrame, text: str, members: DataFrame, words: int) -> D
                     seen.clear()
                 seen.add(mark)
                 own = shingle_set(t, words)
-                out.append((len(own), *digest(own), own.tobytes(), group_counts(own).tobytes()))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["n", "d1", "d2", "shingles", "point"])
+                out.append((len(own), *digest(own), own.tobytes(), group_counts(own).tobytes(), parity_sketch(own).tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["n", "d1", "d2", "shingles", "point", "sketch"])
 
-    found = map_texts(docs.select(F.col(text).alias("text")), "text", step, "n long, d1 long, d2 long, shingles binary, point binary")
-    joined = found.join(members.drop("mark"), ["n", "d1", "d2"]).select("id", "n", "shingles", "point").dropDuplicates(["id"])
+    found = map_texts(docs.select(F.col(text).alias("text")), "text", step, "n long, d1 long, d2 long, shingles binary, point binary, sketch binary")
+    joined = found.join(members.drop("mark"), ["n", "d1", "d2"]).select("id", "n", "shingles", "point", "sketch").dropDuplicates(["id"])
     return freeze(joined, "sets")
 
 
 def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of different components, one of them at a place below ``high``, that the tree leaves over.
+    """Pairs (a, b) of different components, one of them an owner at a place below ``high``, that tree and sketches leave over.
 
-    ``rows`` (band, place, id, n, label, point) hold whole lists from the window's first place on. A list's members in the
-    window are held, the others pass by.
+    ``rows`` (band, place, guest, id, n, label, point, sketch) hold whole lists from the window's first place on. A list's
+    owners in the window are held, the others pass by.
     """
 
     def pairs(window: dict, more: dict, within: bool) -> np.ndarray:
@@ -292,6 +353,8 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
         return made(window, more, found[kept], asked[kept])
 
     def made(one: dict, two: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        kept = near_enough(one, two, i, j, num, den)
+        i, j = i[kept], j[kept]
         return np.stack([one["id"][i], two["id"][j], one["label"][i], two["label"][j]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +362,15 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = {c: batch.column(c).to_numpy() for c in ("band", "place", "id", "n", "label")} | {"point": points_of(batch.column("point"))}
+            cols = {c: batch.column(c).to_numpy() for c in ("band", "place", "id", "n", "label")} | {"guest": batch.column("guest").to_numpy(zero_copy_only=False)}
+            cols |= {c: vectors_of(batch.column(c).to_pylist(), kind) for c, kind in (("point", np.uint32), ("sketch", np.uint64))}
             starts = np.flatnonzero(np.append(True, np.diff(cols["band"]) != 0))
             out = [np.zeros((4, 0), np.int64)]
             for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
                 own = {k: v[a:b] for k, v in cols.items()}
                 if own["band"][0] != band:
                     window, band = None, own["band"][0]
-                inside = own["place"] < high
+                inside = (own["place"] < high) & ~own["guest"]
                 now = {k: own[k][inside] for k in MEMBER}
                 rest = {k: own[k][~inside] for k in MEMBER}
                 if len(now["id"]):
@@ -319,7 +383,7 @@ def window_pairs(rows: DataFrame, high: int, num: int, den: int) -> DataFrame:
                     out.append(pairs(window, rest, False))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(out, axis=1)], PAIR)
 
-    together = rows.select("band", "place", "id", "n", "label", "point").repartition("band").sortWithinPartitions("band", "place")
+    together = rows.select("band", "place", "guest", "id", "n", "label", "point", "sketch").repartition("band").sortWithinPartitions("band", "place")
     return together.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
 
 
@@ -336,9 +400,10 @@ def block_pairs(rows: DataFrame, window: int, num: int, den: int) -> DataFrame:
     def compare(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
         if not len(one) or not len(two):
             return pd.DataFrame({c: np.zeros(0, np.int64) for c in PAIR})
-        points = [np.frombuffer(b"".join(x["point"]), np.uint32).reshape(len(x), -1) for x in (one, two)]
-        asked, found = CountTree(points[0], one["n"].to_numpy()).search(points[1], two["n"].to_numpy(), num, den)
-        found, asked = one.iloc[found], two.iloc[asked]
+        left, right = ({"n": x["n"].to_numpy(), "point": vectors_of(list(x["point"]), np.uint32), "sketch": vectors_of(list(x["sketch"]), np.uint64)} for x in (one, two))
+        asked, found = CountTree(left["point"], left["n"]).search(right["point"], right["n"], num, den)
+        kept = near_enough(left, right, found, asked, num, den) & ~(one["guest"].to_numpy()[found] & two["guest"].to_numpy()[asked])
+        found, asked = one.iloc[found[kept]], two.iloc[asked[kept]]
         made = pd.DataFrame(dict(zip(PAIR, (x[c].to_numpy() for c in ("id", "label") for x in (found, asked)))))
         return made[made["from_a"] != made["from_b"]]
 
@@ -373,7 +438,7 @@ def linked_nodes(docs: DataFrame, text: str, nodes: DataFrame, words: int, num:
         return None
     members = lists.select("id").distinct().join(nodes.select("id", "n", "d1", "d2", "mark"), "id")
     sets = member_sets(docs, text, members, words)
-    lists = freeze(lists.join(sets.select("id", "n", "point"), "id").select("band", "place", "id", "n", "point"), "points")
+    lists = freeze(lists.join(sets.select("id", "n", "point", "sketch"), "id").select("band", "place", "guest", "id", "n", "point", "sketch"), "points")
     labels, low = None, 0
     for high in (*windows, None):
         if low > sizes:
@@ -399,7 +464,7 @@ def near_sets(docs: DataFrame, text: str = "text", key: str = "doc_id", words: i
               windows: tuple[int, ...] = WINDOWS) -> DataFrame:
     """(key, n_shingles, component) of each row of ``docs``; the component is named by its smallest key."""
     rows = described(docs, text, key, words, num, den)
-    known = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.first("bands").alias("bands"))
+    known = rows.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("key").alias("least"), F.min("mark").alias("mark"), F.first("bands").alias("bands"), F.first("own").alias("own"))
     nodes = freeze(known.select(F.monotonically_increasing_id().alias("id"), "*"), "nodes")
     roots = linked_nodes(docs, text, nodes, words, num, den, windows)
     marked = nodes.select("id", "n", "d1", "d2", "least")
