@@ -1,10 +1,12 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions and Spark's own learning library alone.
 
-A paragraph is a line of a text. Its features are hashed word n-grams (one to three words); a multinomial logistic
-regression tells licence families from one another and from other text. It learns from the templates below (whole, and
-every run of their sentences) and, as the class *unknown*, from a bounded sample of the corpus' own paragraphs that hold
-no such text and from sentences that speak of licences without granting one. The bound for calling a paragraph known is
-set on the unknown examples left out of training: all but a small share of them stay below it.
+A paragraph is a line of a text. Its features are those word n-grams (one to three words), hashed, that occur in the fixed
+texts below; a multinomial logistic regression tells licence families from one another and from other text. It learns from
+the templates (whole, and every run of their sentences) and, as the class *unknown*, from every paragraph of the corpus
+that holds no such text, whatever its length, and from sentences that speak of licences without granting one. Paragraphs
+with the same n-grams are one weighted row, so training works on what is different among them. The bound for calling a
+paragraph known is set on the fifth of all corpus paragraphs that is left out of training: all but a small share of them
+stay below it.
 
 A prediction is confirmed by comparison with the family's templates and the runs of their sentences: at least
 ``least_shared`` of the paragraph's or the template's word pairs must be shared. Paragraphs that share less with the
@@ -30,8 +32,9 @@ from quorumql.session import freeze
 
 UNKNOWN = "unknown"
 BUCKETS = 1 << 14
-#: Bound of the sample of corpus paragraphs for the class unknown; share of left-out unknowns above the bound for known.
-SAMPLE, FALSE_SHARE = 4000, 0.001
+#: A corpus paragraph's weight in training, and as how many such paragraphs all of them weigh together at most; share of
+#: left-out unknowns above the bound for known.
+WEIGHT, MASS, FALSE_SHARE = 0.25, 4000, 0.001
 LEAST_SHARED = 0.6
 
 # Names and opening phrases of public licences, by family.
@@ -140,9 +143,23 @@ def runs(found: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " "))
 
 
-def with_features(rows: DataFrame, text: str = "paragraph") -> DataFrame:
-    """``rows`` with the words of ``text`` and their n-grams."""
-    return rows.withColumn("words", words(F.col(text))).withColumn("grams", F.concat(runs(F.col("words"), 1), runs(F.col("words"), 2), runs(F.col("words"), 3)))
+def known_grams(text: Column, known: tuple[list[str], ...]) -> Column:
+    """The different n-grams of ``text`` among ``known`` (one list for each n), sorted."""
+    ones, twos, threes = known
+
+    def rest(found: Column, first: int) -> Column:
+        return F.slice(found, F.lit(first), F.greatest(F.size(found), F.lit(0)))
+
+    def joined(left: Column, right: Column) -> Column:
+        return F.zip_with(left, right, lambda a, b: F.concat(a, F.lit(" "), b))  # null where either is
+
+    def all_of(seen: Column, two: Column) -> Column:
+        parts = F.filter(seen, lambda w: w.isNotNull()), F.filter(two, lambda p: p.isin(*twos)), F.filter(joined(two, rest(seen, 3)), lambda t: t.isin(*threes))
+        return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+    # Lists of one give names to values, which would be worked out anew for each use otherwise.
+    seen = F.transform(words(text), lambda w: F.when(w.isin(*ones), w))
+    return F.transform(F.array(seen), lambda s: F.transform(F.array(joined(s, rest(s, 2))), lambda two: all_of(s, two))[0])[0]
 
 
 def pairs(found: Column) -> Column:
@@ -172,32 +189,36 @@ def template_pairs(spark: SparkSession) -> list[tuple[str, ...]]:
     return sorted({tuple(sorted(r[0])) for r in template_table(spark).select(pairs(words(F.col("paragraph")))).collect()})
 
 
-def shares_pairs(text: Column, shapes: list[tuple[str, ...]], least_shared: float, whole: bool = False) -> Column:
-    """Whether ``text`` shares ``least_shared`` of its own or one shape's word pairs (``whole``: of the shape's)."""
+def shares(own: Column, shapes: list[tuple[str, ...]], least_shared: float, whole: bool = False) -> Column:
+    """Whether the word pairs ``own`` share ``least_shared`` of them or of one shape's word pairs (``whole``: of the shape's)."""
     known, least = sorted({p for s in shapes for p in s}), min(map(len, shapes))
 
     def among(found: Column, some: tuple[str, ...] | list[str]) -> Column:
         return F.filter(found, lambda p: p.isin(*some))
 
-    def reaches(hit: Column, own: Column, size: int) -> Column:
+    def reaches(hit: Column, size: int) -> Column:
         return F.size(hit) / F.greatest(F.lit(size) if whole else F.least(F.size(own), F.lit(size)), F.lit(1)) >= least_shared
 
-    def met(own: Column, hit: Column) -> Column:
+    def met(hit: Column) -> Column:
         done = F.lit(False)
         for s in shapes:
-            done = done | reaches(among(hit, s), own, len(s))
-        return reaches(hit, own, least) & done
+            done = done | reaches(among(hit, s), len(s))
+        return reaches(hit, least) & done
 
     # ``exists`` over lists of one gives names to values, which would be worked out anew for each use otherwise.
-    hits = lambda own: F.exists(F.array(among(own, known)), lambda hit: met(own, hit))
-    return F.exists(F.array(words(text)), lambda found: F.exists(F.array(pairs(found)), hits))
+    return F.exists(F.array(among(own, known)), met)
+
+
+def shares_pairs(text: Column, shapes: list[tuple[str, ...]], least_shared: float, whole: bool = False) -> Column:
+    """Whether ``text`` shares ``least_shared`` of its own or one shape's word pairs (``whole``: of the shape's)."""
+    return F.exists(F.array(words(text)), lambda found: F.exists(F.array(pairs(found)), lambda own: shares(own, shapes, least_shared, whole)))
 
 
 class LicenceModel:
-    """Families by class number, the hashing and regression stages, and the bound for calling a paragraph known."""
+    """Families by class number, the n-grams it knows, the hashing and regression stages, and the bound for calling a paragraph known."""
 
-    def __init__(self, families: list[str], stages: PipelineModel, bound: float) -> None:
-        self.families, self.stages, self.bound = families, stages, bound
+    def __init__(self, families: list[str], known: tuple[list[str], ...], stages: PipelineModel, bound: float) -> None:
+        self.families, self.known, self.stages, self.bound = families, known, stages, bound
 
     def scored(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with n-grams) with family and probability of the likeliest class."""
@@ -207,34 +228,49 @@ class LicenceModel:
             "family", F.element_at(names, (F.array_position("p", F.col("confidence"))).cast("int"))).drop("p", "probability", "rawPrediction", "prediction", "features")
 
 
-def train_licence_model(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> LicenceModel:
-    """Fit on the templates, the sentences that only speak of licences, and a sample of the corpus' other paragraphs."""
-    spark = docs.sparkSession
+def fixed_rows(spark: SparkSession) -> DataFrame:
+    """Family, paragraph and weight of the templates, in several contexts each, and of the sentences that only speak of licences."""
     # Several contexts of each template: alone, after and before a plain phrase.
     around = F.array(F.lit("%s"), F.lit("notice %s"), F.lit("%s see details"), F.lit("the text below %s"), F.lit("%s all files"), F.lit("code %s and data"))
     known = template_table(spark).select("family", F.explode(around).alias("shape"), "paragraph").select(
-        "family", F.expr("replace(shape, '%s', paragraph)").alias("paragraph"), F.lit(1.0).alias("weight"), F.lit(False).alias("left_out"))
-    speaks = spark.createDataFrame([(s,) for s in SPEAKS_OF], "paragraph string").select(
-        F.lit(UNKNOWN).alias("family"), "paragraph", F.lit(4.0).alias("weight"), F.lit(False).alias("left_out"))
-    other = docs.select(F.explode(paragraphs(F.col(text))).alias("paragraph")).filter(F.length("paragraph").between(8, 400))
-    holds = shares_pairs(F.col("paragraph"), template_pairs(spark), LEAST_SHARED, whole=True)
-    place = F.pmod(F.xxhash64("paragraph", F.lit("licence")), F.lit(1 << 20))
-    total = other.count()
-    plain = other.filter(place < F.lit(int((1 << 20) * min(1.0, sample / max(1, total))) + 1)).filter(~holds).limit(2 * sample).select(
-        F.lit(UNKNOWN).alias("family"), "paragraph", F.lit(0.25).alias("weight"), (F.xxhash64("paragraph") % 5 == 0).alias("left_out"))
+        "family", F.expr("replace(shape, '%s', paragraph)").alias("paragraph"), F.lit(1.0).alias("weight"))
+    return known.union(spark.createDataFrame([(UNKNOWN, s, 4.0) for s in SPEAKS_OF], known.schema))
+
+
+def fixed_grams(spark: SparkSession) -> tuple[list[str], ...]:
+    """The n-grams of the fixed rows, a fixed list for each n."""
+    found = fixed_rows(spark).select(*(runs(words(F.col("paragraph")), n) for n in (1, 2, 3))).collect()
+    return tuple(sorted({gram for row in found for gram in row[n]}) for n in range(3))
+
+
+def corpus_rows(docs: DataFrame, text: str, known: tuple[list[str], ...]) -> DataFrame:
+    """(grams, left_out, count) of all paragraphs of the corpus that hold no template, a row for each different pair of the first two."""
+    paragraph = F.col("paragraph")
+    every = docs.select(F.explode(paragraphs(F.col(text))).alias("paragraph")).select(
+        known_grams(paragraph, known).alias("grams"), (F.xxhash64(paragraph) % 5 == 0).alias("left_out"))
+    # Whether a template is held shows in the pairs among the n-grams.
+    return freeze(every.groupBy("grams", "left_out").count().filter(~shares(F.col("grams"), template_pairs(docs.sparkSession), LEAST_SHARED, whole=True)), "licence-corpus")
+
+
+def train_licence_model(docs: DataFrame, text: str = "text") -> LicenceModel:
+    """Fit on the templates, the sentences that only speak of licences, and all other paragraphs of the corpus."""
+    spark = docs.sparkSession
+    known = fixed_grams(spark)
+    plain = corpus_rows(docs, text, known)
+    total = plain.agg(F.sum("count")).first()[0] or 0
+    one = WEIGHT * min(1.0, MASS / max(1, total))
+    fixed = fixed_rows(spark).select("family", known_grams(F.col("paragraph"), known).alias("grams"), F.lit(False).alias("left_out"), F.lit(1).cast("long").alias("count"), "weight")
+    corpus = plain.select(F.lit(UNKNOWN).alias("family"), "grams", "left_out", "count", (F.col("count") * F.lit(one)).alias("weight"))
     families = [UNKNOWN, *TEMPLATES]
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    rows = with_features(known.union(speaks).union(plain).withColumn("label", number.cast("double"))).cache()
-    try:
-        hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
-        regression = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight", standardization=False)
-        fitted = regression.fit(hashing.transform(rows.filter(~F.col("left_out"))))
-        model = LicenceModel(families, PipelineModel(stages=[hashing, fitted]), 0.5)
-        chance = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("confidence"))
-        reached = model.scored(rows.filter("left_out")).select(chance.alias("c")).agg(F.percentile("c", F.lit(1 - FALSE_SHARE))).first()[0]
-        model.bound = max(0.5, min(0.95, float(reached or 0.0)))
-    finally:
-        rows.unpersist()
+    rows = fixed.union(corpus).withColumn("label", number.cast("double"))
+    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=BUCKETS, binary=True)
+    regression = LogisticRegression(family="multinomial", maxIter=40, regParam=1e-4, weightCol="weight", standardization=False)
+    fitted = regression.fit(hashing.transform(rows.filter(~F.col("left_out"))))
+    model = LicenceModel(families, known, PipelineModel(stages=[hashing, fitted]), 0.5)
+    chance = F.when(F.col("family") == UNKNOWN, 0.0).otherwise(F.col("confidence"))
+    reached = model.scored(rows.filter("left_out")).select(chance.alias("c"), "count").agg(F.percentile("c", F.lit(1 - FALSE_SHARE), F.col("count"))).first()[0]
+    model.bound = max(0.5, min(0.95, float(reached or 0.0)))
     return model
 
 
@@ -260,7 +296,8 @@ def confirmed(found: DataFrame, model: LicenceModel, least_shared: float = LEAST
     """The paragraphs among ``candidates`` that the model calls known and its family's templates confirm."""
     met = found.filter(F.col("place").isNotNull())
     # Written once: a condition on the scores would otherwise be moved below them and work them out once for each use.
-    scores = freeze(model.scored(with_features(met)).drop("paragraph", "grams"), "licence-scores")
+    featured = met.withColumn("words", words(F.col("paragraph"))).withColumn("grams", known_grams(F.col("paragraph"), model.known))
+    scores = freeze(model.scored(featured).drop("paragraph", "grams"), "licence-scores")
     scored = scores.filter((F.col("family") != UNKNOWN) & (F.col("confidence") >= model.bound))
     shapes = template_table(found.sparkSession).select("family", pairs(words(F.col("paragraph"))).alias("shape"))
     shapes = shapes.groupBy("family").agg(F.collect_list("shape").alias("shapes"))  # a fixed list of a few templates

@@ -298,6 +298,21 @@ def test_licence_lines_without_anchor_words(spark, licence_model):
     assert found == dict(enumerate(LICENCE_LINES.values()))
 
 
+def test_licences_learn_from_every_paragraph(spark):
+    known = licences.fixed_grams(spark)
+    texts = [None, "", "of the\nplain words\n" * 5000, "short\n" + "long words of the story " * 60, "Released under the MIT License.\nIn the shop of the town."]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string")
+    found = {}
+    for r in licences.corpus_rows(rows, "text", known).collect():
+        found[tuple(r.grams)] = found.get(tuple(r.grams), 0) + r["count"]
+    assert sum(found.values()) == 1 + 10_001 + 2 + 1  # all but the line that holds a template; before: a sample, by length
+    assert found[("of", "of the", "the")] == 5000
+    grams = {g for k in found for g in k}
+    assert grams <= {g for some in known for g in some}
+    spans = lambda text, n: {" ".join(w[i : i + n]) for w in [text.lower().rstrip(".").split()] for i in range(len(w) - n + 1)}
+    assert {g for text in ("in the shop of the town.", "long words of the story " * 2) for n in (1, 2, 3) for g in spans(text, n) if g in known[n - 1]} <= grams
+
+
 def test_left_out_paragraphs_could_not_be_confirmed(spark):
     shapes = licences.template_pairs(spark)
     lines = [*LICENCE_LINES, "", "a", "plain words of the story", "it is the license of this dog", "free of charge", "to the software and of the terms"]
